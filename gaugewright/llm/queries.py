@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe_automaton import op7_bpe_automaton
+from .simhash import op6_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
     "op7_bpe_automaton": op7_bpe_automaton,
 }
 
