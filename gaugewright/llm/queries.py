@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .bpe_automaton import op7_bpe_automaton
 from .simhash import op6_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op4_pareto_mixing": mixing.op4_pareto_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_bpe_automaton": op7_bpe_automaton,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = mixing.ORACLE_SQL
