@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteVocabulary, IntTable, presplit, ragged, range_hash, vocabulary
+from .bytebpe import ByteVocabulary, IntTable, presplit, ragged, range_hash, spelled, vocabulary
 from .common import chunks, table, vocabulary_path
 
 NEVER = np.int32(2**31 - 1)
@@ -108,38 +108,7 @@ class MergeAutomaton:
         self.label_start = np.cumsum(self.label_size) - self.label_size
         self.label_bytes = np.frombuffer(b"".join(labels), np.uint8)
         # the labels as a trie, so that all labels at all positions are found step by step
-        child: dict[tuple[int, int], int] = {}
-        ends = [-1]
-        for i in np.flatnonzero(self.live):
-            node = 0
-            for b in labels[i]:
-                key = (node, b)
-                if key not in child:
-                    child[key] = len(ends)
-                    ends.append(-1)
-                node = child[key]
-            ends[node] = int(i)
-        self.trie = IntTable(len(child))
-        keys = np.fromiter((n << 8 | b for n, b in child), np.int64, len(child))
-        self.trie.put(keys, np.fromiter(child.values(), np.int32, len(child)))
-        self.ends = np.array(ends, np.int32)
-
-    def _spelled(self, data: np.ndarray, room: np.ndarray):
-        """Start, size and label of every label that occurs in the words; room: bytes left in its word at each byte."""
-        at = np.arange(data.size, dtype=np.int64)
-        node = np.zeros(data.size, np.int64)
-        found, depth = [], 0
-        while at.size:
-            node = self.trie.get(node << 8 | data[at + depth]).astype(np.int64)
-            depth += 1
-            on = node >= 0
-            at, node = at[on], node[on]
-            label = self.ends[node]
-            hit = label >= 0
-            found.append((at[hit], np.full(int(hit.sum()), depth, np.int64), label[hit]))
-            on = room[at] > depth
-            at, node = at[on], node[on]
-        return [np.concatenate(x) for x in zip(*found)]
+        self.trie, self.ends = self.vocab.trie(np.flatnonzero(self.live))
 
     def encode_words(self, buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the byte ranges, one after another, and the number of each."""
@@ -150,7 +119,7 @@ class MergeAutomaton:
         word_start = np.cumsum(size) - size
         word = np.repeat(np.arange(size.size), size)
         place = np.arange(data.size) - word_start[word]
-        at, length, label = self._spelled(data, size[word] - place)
+        at, length, label = spelled(self.trie, self.ends, data, size[word] - place)
         # slots: each word has one for every prefix, the empty one included
         slot = at + word[at]
         ends = place[at] + length

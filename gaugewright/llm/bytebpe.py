@@ -78,15 +78,15 @@ def class_table() -> np.ndarray:
 
 
 class Words:
-    """Pre-split tokens of a batch: byte buffer, ranges, the segment of each, and which are special tokens.
+    """Pre-split tokens of a batch: byte buffer, ranges, the text of each, which are special tokens and which hold letters.
 
     ``doc[i]`` is the text that word i belongs to; words stand in text order.
     """
 
-    __slots__ = ("buffer", "start", "stop", "doc", "special")
+    __slots__ = ("buffer", "start", "stop", "doc", "special", "letters")
 
-    def __init__(self, buffer, start, stop, doc, special):
-        self.buffer, self.start, self.stop, self.doc, self.special = buffer, start, stop, doc, special
+    def __init__(self, buffer, start, stop, doc, special, letters):
+        self.buffer, self.start, self.stop, self.doc, self.special, self.letters = buffer, start, stop, doc, special, letters
 
 
 def presplit(texts: list[str], special: str | None = None) -> Words:
@@ -109,7 +109,7 @@ def presplit(texts: list[str], special: str | None = None) -> Words:
     n = cp.size
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(buffer, none, none, none, np.zeros(0, bool))
+        return Words(buffer, none, none, none, np.zeros(0, bool), np.zeros(0, bool))
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     seg_start = np.cumsum(lengths) - lengths
     seg_start_full = seg_start[lengths > 0]
@@ -151,9 +151,10 @@ def presplit(texts: list[str], special: str | None = None) -> Words:
     stop = np.append(start[1:], buffer.size)
     segment = np.searchsorted(seg_start_full, char_start, "right") - 1
     segment = np.flatnonzero(lengths > 0)[segment]
+    letters = np.logical_or.reduceat(kind == LETTER, char_start)
     if owner is None:
-        return Words(buffer, start, stop, segment, np.zeros(start.size, bool))
-    return Words(buffer, start, stop, np.array(owner)[segment], np.array(is_special)[segment])
+        return Words(buffer, start, stop, segment, np.zeros(start.size, bool), letters)
+    return Words(buffer, start, stop, np.array(owner)[segment], np.array(is_special)[segment], letters)
 
 
 @lru_cache(maxsize=4)
@@ -214,6 +215,23 @@ class ByteVocabulary:
         self.merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
         self.size = size
 
+    def trie(self, ids) -> tuple[IntTable, np.ndarray]:
+        """The given tokens as a trie over bytes: (node * 256 + byte -> child, token that ends at each node or -1)."""
+        child: dict[tuple[int, int], int] = {}
+        ends = [-1]
+        for i in ids:
+            node = 0
+            for b in self.token_bytes[i]:
+                key = (node, b)
+                if key not in child:
+                    child[key] = len(ends)
+                    ends.append(-1)
+                node = child[key]
+            ends[node] = int(i)
+        table = IntTable(len(child))
+        table.put(np.fromiter((n << 8 | b for n, b in child), np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child)))
+        return table, np.array(ends, np.int32)
+
     def rank_table(self) -> IntTable:
         """(left, right) -> rank."""
         t = IntTable(len(self.merges))
@@ -224,3 +242,21 @@ class ByteVocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteVocabulary:
     return ByteVocabulary(path)
+
+
+def spelled(trie: IntTable, ends: np.ndarray, data: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """Start, size and token of every occurrence of a trie's tokens in the bytes; room: bytes left in its word at each byte."""
+    at = np.arange(data.size, dtype=np.int64)
+    node = np.zeros(data.size, np.int64)
+    found, depth = [], 0
+    while at.size:
+        node = trie.get(node << 8 | data[at + depth]).astype(np.int64)
+        depth += 1
+        on = node >= 0
+        at, node = at[on], node[on]
+        token = ends[node]
+        hit = token >= 0
+        found.append((at[hit], np.full(int(hit.sum()), depth, np.int64), token[hit]))
+        on = room[at] > depth
+        at, node = at[on], node[on]
+    return [np.concatenate(x) for x in zip(*found)]

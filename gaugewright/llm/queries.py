@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing
 from .bpe_automaton import op7_bpe_automaton
+from .language import op8_language_id
 from .simhash import op6_simhash
 from .token_counts import op5_token_counts
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = mixing.ORACLE_SQL
