@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 from .bpe_automaton import op7_bpe_automaton
 from .language import op8_language_id
 from .simhash import op6_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op2_warc_transactions": warc.op2_warc_transactions,
     "op4_pareto_mixing": mixing.op4_pareto_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
@@ -16,4 +17,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = mixing.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = warc.ORACLE_SQL | mixing.ORACLE_SQL
