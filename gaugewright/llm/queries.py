@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, warc
 from .bpe_automaton import op7_bpe_automaton
 from .language import op8_language_id
+from .telephony import op10_telephony
 from .simhash import op6_simhash
 from .token_counts import op5_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_language_id": op8_language_id,
+    "op10_telephony": op10_telephony,
 }
 
 ORACLE_SQL: dict[str, str] = warc.ORACLE_SQL | mixing.ORACLE_SQL
