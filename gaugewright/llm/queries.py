@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing, warc
 from .bpe_automaton import op7_bpe_automaton
+from .chat import op9_chat_windows
 from .language import op8_language_id
 from .telephony import op10_telephony
 from .simhash import op6_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_language_id": op8_language_id,
+    "op9_chat_windows": op9_chat_windows,
     "op10_telephony": op10_telephony,
 }
 
