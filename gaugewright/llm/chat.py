@@ -42,7 +42,7 @@ def unescape(text: str) -> str:
 
 def render_turns(df: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
     """Add ``head`` (marks and role) and ``body`` (text), both escaped; null roles and texts are empty."""
-    shielded = {n: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"<(\\*)\|", r"<$1\\\\|") for n, c in (("head", role), ("body", text))}
+    shielded = {n: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"<(\\*)\|", r"<$1\\|") for n, c in (("head", role), ("body", text))}
     return df.withColumns({"head": F.concat(F.lit(TURN), shielded["head"], F.lit(BODY)), "body": shielded["body"]})
 
 
