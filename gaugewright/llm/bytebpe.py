@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 APOSTROPHE, BLANK = 0x27, 0x20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 0x100000001B3 * 0x9E3779B1 | 1
 
 
 class IntTable:
@@ -66,12 +66,12 @@ class IntTable:
 def class_table() -> np.ndarray:
     """Class of every code point in the split pattern: letter, number, white space, other."""
     table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            table[c] = LETTER
-        elif kind == "N":
-            table[c] = NUMBER
+    # classes as the tokenizer library's own pattern engine has them: Unicode versions differ between packages
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    text = "".join(map(chr, points.tolist()))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            table[points[a:b]] = kind
     for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         table[c] = SPACE
     return table
@@ -158,8 +158,9 @@ def presplit(texts: list[str], special: str | None = None) -> Words:
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, _STEP & 0xFFFFFFFFFFFFFFFF, np.uint64))
+def _multipliers(n: int) -> np.ndarray:
+    """Random odd multipliers, one per place: no two texts of a pattern can collide as they would with powers of one number."""
+    return np.random.Generator(np.random.PCG64(20240101)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
 
 
 def range_hash(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -168,8 +169,8 @@ def range_hash(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     size = stop - start
     place = np.arange(buffer.size, dtype=np.int64) - np.repeat(start, size)
-    powers = _powers(1 << int(size.max()).bit_length())
-    h = np.add.reduceat((buffer.astype(np.uint64) + np.uint64(1)) * powers[place], start)
+    factor = _multipliers(1 << int(size.max()).bit_length())
+    h = np.add.reduceat((buffer.astype(np.uint64) + np.uint64(1)) * factor[place], start)
     h ^= size.astype(np.uint64) * _MIX
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)

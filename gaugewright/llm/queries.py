@@ -5,13 +5,17 @@ from __future__ import annotations
 from . import mixing, warc
 from .bpe_automaton import op7_bpe_automaton
 from .chat import op9_chat_windows
+from .iblt import op3_iblt_fingerprints
 from .language import op8_language_id
-from .telephony import op10_telephony
+from .lm_scoring import op1_ce_difference
 from .simhash import op6_simhash
+from .telephony import op10_telephony
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_ce_difference": op1_ce_difference,
     "op2_warc_transactions": warc.op2_warc_transactions,
+    "op3_iblt_fingerprints": op3_iblt_fingerprints,
     "op4_pareto_mixing": mixing.op4_pareto_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,

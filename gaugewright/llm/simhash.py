@@ -126,8 +126,13 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep one row of each component: one with its smallest document id. Columns stay as they are."""
-    prints = materialize(with_simhash(df.select(doc_id, text), text, column="_simhash").drop(text), "simhash")
-    groups = simhash_groups(prints, doc_id, "_simhash")
-    marked = with_simhash(df, text, column="_simhash").join(groups, "_simhash").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    return marked.dropDuplicates(["root"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    """Keep one row of each component: one with its smallest document id (rows without an id only where none has one).
+
+    Columns stay as they are, whatever their names. Texts are hashed once, written, and shuffled at most once, by row.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    marked = materialize(with_simhash(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "simhash-rows", compression="zstd")
+    narrow = marked.select("row", "id", "simhash")
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
+    keep = narrow.join(simhash_groups(narrow, "id"), "simhash").groupBy("root").agg(F.min(place).alias("first")).select("first.row")
+    return marked.join(keep, "row", "left_semi").select("doc.*")
