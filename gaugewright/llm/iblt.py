@@ -22,7 +22,7 @@ PARAGRAPH_WORDS = 16
 #: Cells in each of a table's three parts.
 PART = 8
 #: Digests that a retry deals to one table on average, and tables that one retry deals to at most.
-LOAD, FAN = 8, 16
+LOAD, FAN = 12, 16
 #: Peeling rounds of one table; it has failed if cells are left then.
 PEELS = 10
 #: Retries inside a row; what is left then (rare, long texts) is retried as rows of its own, until nothing is left.
@@ -37,6 +37,11 @@ def paragraph_digests(text: Column, words: int = PARAGRAPH_WORDS) -> Column:
     return F.coalesce(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), F.array().cast("array<bigint>"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hashed(digests: Column, level: int) -> Column:
     return F.transform(digests, lambda d: F.struct(d.alias("k"), F.xxhash64(d, F.lit(level)).alias("h")))
 
@@ -45,11 +50,11 @@ def sketch(hashed: Column) -> Column:
     """Cells (m, v, n, k, h) of digests with their check hash: a hash belongs to the cells whose value it has under their mask."""
     places = F.array(*[F.struct(F.lit(PART - 1 << 8 * j).cast("long").alias("m"), F.lit(r << 8 * j).cast("long").alias("v")) for j in range(3) for r in range(PART)])
 
-    def cell(at: Column) -> Column:
+    def cell(at: Column, own: Column) -> Column:
         zero = F.struct(at["m"].alias("m"), at["v"].alias("v"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        return F.aggregate(F.filter(hashed, lambda x: x["h"].bitwiseAND(at["m"]) == at["v"]), zero, lambda c, x: _merged(c, F.lit(1), x))
+        return F.aggregate(F.filter(own, lambda x: x["h"].bitwiseAND(at["m"]) == at["v"]), zero, lambda c, x: _merged(c, F.lit(1), x))
 
-    return F.transform(places, cell)
+    return _let(hashed, lambda own: F.transform(places, lambda at: cell(at, own)))
 
 
 def _merged(cell: Column, n: Column, x: Column) -> Column:
@@ -72,7 +77,7 @@ def peel(cells: Column, level: int) -> Column:
 
         left = F.transform(s["cells"], without)
         gone = F.size(F.filter(s["found"], lambda p: p["n"] > 0))
-        return F.struct(left.alias("cells"), (s["plus"] + gone).alias("plus"), (s["minus"] + F.size(s["found"]) - gone).alias("minus"))
+        return F.struct(left.alias("cells"), (s["plus"] + gone).alias("plus"), (s["minus"] + F.size(s["found"]) - gone).alias("minus"), F.lit(True).alias("on"))
 
     def found(s: Column) -> Column:
         # one digest may be alone in several cells: it is taken once
@@ -80,10 +85,13 @@ def peel(cells: Column, level: int) -> Column:
         return F.struct(s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"), F.array_distinct(alone).alias("found"))
 
     def one_round(s: Column, _: Column) -> Column:
-        # a one-element transform names the cells found, so that they are found once
-        return F.transform(F.array(found(s)), lambda x: F.when(F.size(x["found"]) == 0, s).otherwise(step(x)))[0]
+        tried = _let(found(s), lambda x: F.when(F.size(x["found"]) == 0, stopped(s)).otherwise(step(x)))
+        return F.when(s["on"], tried).otherwise(s)
+
+    def stopped(s: Column) -> Column:
+        return F.struct(s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"), F.lit(False).alias("on"))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"), F.lit(True).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, one_round, lambda s: F.struct((~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
@@ -91,18 +99,23 @@ def _attempt(a: Column, b: Column, level: int) -> Column:
     """One table for the digests of both sides: ok, plus, minus, and the sides if it failed."""
     kept = F.array().cast("array<bigint>")
     done = peel(subtract(sketch(_hashed(a, level)), sketch(_hashed(b, level))), level)
-    return F.transform(F.array(done), lambda d: F.struct(d["ok"].alias("ok"), F.when(d["ok"], d["plus"]).otherwise(0).alias("plus"), F.when(d["ok"], d["minus"]).otherwise(0).alias("minus"), F.when(d["ok"], kept).otherwise(a).alias("a"), F.when(d["ok"], kept).otherwise(b).alias("b")))[0]
+    return _let(done, lambda d: F.struct(d["ok"].alias("ok"), F.when(d["ok"], d["plus"]).otherwise(0).alias("plus"), F.when(d["ok"], d["minus"]).otherwise(0).alias("minus"), F.when(d["ok"], kept).otherwise(a).alias("a"), F.when(d["ok"], kept).otherwise(b).alias("b")))
 
 
 def _larger(a: Column, b: Column, level: int) -> Column:
     """Both sides dealt to several tables by another hash, each tried: an array of attempts."""
     fan = F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil((F.size(a) + F.size(b)) / F.lit(LOAD)).cast("int")))
 
+    def places(side: Column, fan: Column) -> Column:
+        return F.transform(side, lambda d: F.struct(d.alias("d"), F.pmod(F.xxhash64(d, F.lit(-level)), fan).alias("g")))
+
     def dealt(side: Column, group: Column) -> Column:
-        return F.filter(side, lambda d: F.pmod(F.xxhash64(d, F.lit(-level)), fan) == group)
+        return F.transform(F.filter(side, lambda x: x["g"] == group), lambda x: x["d"])
+
+    def groups(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), x["fan"] - 1), lambda g: _let(F.struct(dealt(x["a"], g).alias("a"), dealt(x["b"], g).alias("b")), lambda y: _attempt(y["a"], y["b"], level)))
 
-    groups = F.transform(F.sequence(F.lit(0), fan - 1), lambda g: F.struct(dealt(a, g).alias("a"), dealt(b, g).alias("b")))
-    return F.transform(groups, lambda g: _attempt(g["a"], g["b"], level))
+    return _let(fan, lambda n: _let(F.struct(n.alias("fan"), places(a, n).alias("a"), places(b, n).alias("b")), groups))
 
 
 def _retried(df: DataFrame, name: str, levels: range) -> DataFrame:
