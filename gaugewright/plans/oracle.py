@@ -211,3 +211,8 @@ ORACLE_SQL: dict[str, str] = {
     "domain_balance": "SELECT max(n) AS largest, min(n) AS smallest, max(n) > 2 * min(n) AS imbalanced FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority) q",
 }
 ORACLE_SQL["parse_strategy_histogram"] = f"SELECT strategy, CAST(sum(n) AS BIGINT) AS n, count(CASE WHEN ok THEN 1 END) AS n_texts_ok FROM ({ORACLE_SQL['parse_cascade']}) q GROUP BY strategy"
+_DOMAINS = ("coffee", "electronics", "fitness", "snacks", "streaming", "travel")
+_GRID = "(SELECT d AS domain, c AS condition FROM (VALUES " + ", ".join(f"('{d}')" for d in _DOMAINS) + ") t(d), (VALUES ('control'), ('irrelevant_high'), ('irrelevant_low'), ('plausible_high'), ('plausible_low')) u(c), range(60))"
+ORACLE_SQL["generated_errors"] = f"SELECT count(*) AS n_items, CAST(0 AS BIGINT) AS n_errors FROM {_GRID} g WHERE condition = 'control'"
+ORACLE_SQL["generated_manifest"] = f"SELECT count(*) AS n_views, count(*) // 5 AS n_items, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions, CAST(5 AS BIGINT) AS conditions_per_item FROM {_GRID} g"
+ORACLE_SQL["exported_rows"] = f"SELECT domain, condition, CASE WHEN condition = 'control' THEN 'none' ELSE split_part(condition, '_', 1) END AS relevance, 'test' AS split, count(*) AS n, count(CASE WHEN condition <> 'control' THEN 1 END) AS n_anchored, count(CASE WHEN condition <> 'control' THEN 1 END) AS n_polarity FROM {_GRID} g GROUP BY domain, condition"

@@ -392,9 +392,10 @@ def generated_manifest(spark, sf):
 
 @query
 def generated_errors(spark, sf):
-    """Errors of freshly generated data: none."""
+    """Items and errors of freshly generated data: no errors."""
     specs = _specs(spark)
-    return generation.validate_specs(specs).unionByName(generation.validate_views(generation.render_views(specs)))
+    errors = generation.validate_specs(specs).unionByName(generation.validate_views(generation.render_views(specs)))
+    return specs.agg(F.count("*").alias("n_items")).crossJoin(errors.agg(F.count("*").alias("n_errors")))
 
 
 @query
