@@ -26,7 +26,7 @@ ORDER = 5
 #: Context before a text's first byte.
 LEAD = b"\n" * (ORDER - 1)
 #: n-grams whose losses may be broadcast (24 bytes each); beyond it the documents' n-grams are joined to the model.
-BROADCAST_GRAMS = 4_000_000
+BROADCAST_GRAMS = 2_000_000
 #: Distinct n-grams that one task gathers before it passes counts on.
 HELD_GRAMS = 2_000_000
 _CHUNK_BYTES = 3_000_000
@@ -127,8 +127,9 @@ def _means(sums_t, sums_b, sizes) -> list[pa.Array]:
 
 def _score_by_broadcast(df: DataFrame, losses: DataFrame, text: str, fold: str) -> DataFrame:
     """Scores by a table of all losses on every executor; its size has been checked."""
-    found = losses.toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(np.int64), found[list(LOSSES)].to_numpy(np.float32)))
+    found = losses.select("gram", *[F.col(c).cast("float") for c in LOSSES]).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), np.stack([found[c].to_numpy() for c in LOSSES], 1)))
+    del found
     rest = [c for c in df.columns if c not in (text, fold)]
     schema = df.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(t).alias(n) for n, t in ADDED.items()]).schema
 
