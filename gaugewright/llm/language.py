@@ -149,7 +149,7 @@ def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "log_p": [fit_pieces(texts, path)]})
 
     found = sorted((r["lang"], r["log_p"]) for r in rows.groupBy("lang").applyInPandas(fit, "lang string, log_p array<double>").collect())
-    return [x for x, _ in found], np.array([p for _, p in found]).reshape(len(found), -1)
+    return [x for x, _ in found], np.array([p for _, p in found]) if found else np.zeros((0, 0))
 
 
 class Scorer:
@@ -180,9 +180,9 @@ class Scorer:
         return out, np.bincount(doc, minlength=len(texts))
 
     def predict(self, texts: list[str], languages: list[str]) -> tuple[list[str], list[float]]:
-        ll, words = self.log_likelihood(texts)
         if not languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        ll, words = self.log_likelihood(texts)
         best = ll.argmax(1)
         score = 1.0 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
         none = words == 0
