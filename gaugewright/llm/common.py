@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points per chunk that the array operators hold in memory at once (one longer text is a chunk by itself).
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
