@@ -1,4 +1,5 @@
-"""SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, verified Hamming distance, components."""
+"""Near-duplicates: SimHash fingerprints with verified Hamming distance (operator 6), and word shingles with verified
+Jaccard similarity (``near_dedup``, the pipeline's stage)."""
 
 from __future__ import annotations
 
@@ -7,11 +8,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import materialize, table
+from .common import chunks, materialize, table
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -21,24 +24,42 @@ BLOCKS = 5
 PAIRWISE_BUCKET = 48
 SEED = 42
 _SLICE = 200_000
+#: Near copies of the pipeline share NEAR_PART of NEAR_WHOLE (0.8) of their distinct shingles of so many words, at least.
+NEAR_WORDS = 5
+NEAR_PART, NEAR_WHOLE = 4, 5
+#: Shingles in more than COMMON_COUNT of one text in COMMON_SAMPLE come last in the order of shingles, COMMON_MOST of them at
+#: most. Any order gives the same links; this one keeps texts that only share a common passage out of each other's buckets.
+COMMON_SAMPLE, COMMON_COUNT, COMMON_MOST = 16, 4, 100_000
 
 
-def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """64-bit fingerprint of one text as a signed integer: a bit is 1 if set in over half of the shingles' XXH64."""
+def _shingle_digests(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one text in slices; a text of fewer words than a shingle is one shingle."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     k = min(words, len(parts))
     starts, ends = starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), _SLICE):
-        raw = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _SLICE], ends[at : at + _SLICE])])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big", signed=True)
+        yield np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _SLICE], ends[at : at + _SLICE])]), ">i8")
+
+
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct digests (signed) of one text's shingles."""
+    found = list(_shingle_digests(text, words))
+    return np.unique(np.concatenate(found).astype(np.int64)) if found else np.zeros(0, np.int64)
+
+
+def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """64-bit fingerprint of one text as a signed integer: a bit is 1 if set in over half of the shingles' XXH64."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in _shingle_digests(text, words):
+        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += part.size
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
 def with_simhash(df: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, column: str = "simhash") -> DataFrame:
@@ -125,14 +146,113 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return prints.join(groups, "simhash").select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _map_sets(df: DataFrame, text: str, added: dict[str, str], build) -> DataFrame:
+    """Replace the text by the columns that ``build`` makes of a list of shingle sets. Map-side only."""
+    rest = [c for c in df.columns if c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
+    schema = source.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(t).alias(n) for n, t in added.items()]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.utf8_length(batch.column(len(rest))), 0).to_pylist()):
+                part = batch.slice(a, b - a)
+                sets = [shingle_set(x.as_py()) for x in part.column(len(rest))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *build(sets)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(x.size for x in arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
+
+
+def _fp(x: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(x.tobytes(), SEED), "big", signed=True)
+
+
+def with_shingles(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replace the text by ``shingles``, the sorted distinct digests of its shingles."""
+    return _map_sets(df, text, {"shingles": "array<bigint>"}, lambda sets: [_lists(sets)])
+
+
+def with_prefixes(df: DataFrame, text: str, common: np.ndarray) -> DataFrame:
+    """Replace the text by ``fp`` (digest of its shingle set), ``n`` (size of the set) and ``prefix``.
+
+    The prefix holds the first ``n - ceil(n * part / whole) + 1`` shingles in one order for all sets, the ``common`` ones
+    last: two sets with NEAR_PART of NEAR_WHOLE shingles in common share one of their prefixes' shingles.
+    """
+
+    def prefix(x: np.ndarray) -> np.ndarray:
+        late = np.isin(x, common)
+        return np.concatenate([x[~late], x[late]])[: x.size + 1 - -(-x.size * NEAR_PART // NEAR_WHOLE) if x.size else 0]
+
+    def build(sets: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([_fp(x) for x in sets], pa.int64()), pa.array([x.size for x in sets], pa.int32()), _lists([prefix(x) for x in sets])]
+
+    return _map_sets(df, text, {"fp": "bigint", "n": "int", "prefix": "array<bigint>"}, build)
+
+
+def common_shingles(df: DataFrame, text: str) -> np.ndarray:
+    """Sorted frequent shingles of a sample of the texts; at most COMMON_MOST reach the driver."""
+    sample = df.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(COMMON_SAMPLE)) == 0).select(F.col(f"`{text}`").alias("text")).distinct()
+    found = with_shingles(sample).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    found = found.where(F.col("count") > COMMON_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON_MOST)
+    return np.sort(np.array(found.select("shingle").toPandas()["shingle"], np.int64))
+
+
+def _may_be_near(a: str, b: str) -> Column:
+    """Whether two sets that share no earlier shingle than this one can still have enough in common."""
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
+    return most * (NEAR_PART + NEAR_WHOLE) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * NEAR_PART
+
+
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are near, by counting their common shingles; ``texts`` has (fp, text)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = materialize(with_shingles(texts.join(ends, "fp", "left_semi").dropDuplicates(["fp"])), "near-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) * (NEAR_PART + NEAR_WHOLE) >= (F.size("x") + F.size("y")) * NEAR_PART).select("a", "b")
+
+
+def near_groups(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the components of all pairs of distinct sets with Jaccard similarity 0.8 or more. Exact.
+
+    ``prints`` has (fp, n, prefix). Sets meet where their prefixes share a shingle. All of a bucket are first compared with
+    its smallest; then only pairs of different components so far, so a large group of near copies costs about its size
+    and not its square.
+    """
+    keyed = prints.select("fp", "n", F.posexplode("prefix").alias("place", "shingle")).repartition("shingle").dropDuplicates(["shingle", "fp"])
+    bucket, member = W.partitionBy("shingle").orderBy("fp"), F.struct("fp", "n", "place")
+    first = F.first(member).over(bucket.rowsBetween(W.unboundedPreceding, W.currentRow))
+    shared = keyed.select("shingle", member.alias("b"), first.alias("a"), F.lead("fp").over(bucket).alias("next"))
+    shared = materialize(shared.where(F.col("next").isNotNull() | (F.col("a.fp") != F.col("b.fp"))).drop("next"), "near-buckets")
+    pairs = shared.where((F.col("a.fp") != F.col("b.fp")) & _may_be_near("a", "b")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
+    links = materialize(_near(pairs, texts), "near-links")
+    roots = materialize(connected_components(links, "a", "b"), "near-roots")
+    member = shared.select("shingle", F.col("b.fp").alias("node"), "b").join(roots, "node", "left").select("shingle", "b", F.coalesce("root", "node").alias("root"))
+    member = materialize(member, "near-members")
+    mixed = member.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    left = member.join(mixed, "shingle", "left_semi")
+    right = left.select("shingle", F.col("b").alias("a"), F.col("root").alias("other"))
+    more = left.join(right, "shingle").where((F.col("root") != F.col("other")) & (F.col("a.fp") < F.col("b.fp")) & _may_be_near("a", "b"))
+    more = more.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return connected_components(links.unionByName(_near(materialize(more, "near-pairs"), texts)), "a", "b")
+
+
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep one row of each component: one with its smallest document id (rows without an id only where none has one).
+    """Keep one row of each group of near copies: one with its smallest document id (rows without an id only where none has one).
 
-    Columns stay as they are, whatever their names. Texts are hashed once, written, and shuffled at most once, by row.
+    Near copies are texts whose distinct 5-word shingles have Jaccard similarity 0.8 or more, and a group is a component
+    of such pairs; texts with the same shingles are never compared, and texts without words are one group. Columns stay as
+    they are, whatever their names. Texts that may have a near copy are shuffled and hashed again to be compared.
     """
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    marked = materialize(with_simhash(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "simhash-rows", compression="zstd")
-    narrow = marked.select("row", "id", "simhash")
+    marked = with_prefixes(rows, "text", common_shingles(df, text)).withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(marked, "near-rows", compression="zstd")
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
-    keep = narrow.join(simhash_groups(narrow, "id"), "simhash").groupBy("root").agg(F.min(place).alias("first")).select("first.row")
+    first = marked.groupBy("fp").agg(F.min(place).alias("first"))
+    texts = marked.select("fp", F.col("doc").getField(text).alias("text"))
+    groups = materialize(near_groups(marked.select("fp", "n", "prefix"), texts), "near-groups").withColumnRenamed("node", "fp")
+    keep = first.join(groups, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.row")
     return marked.join(keep, "row", "left_semi").select("doc.*")
