@@ -186,29 +186,15 @@ def pcm_feature(codec: str, rate: int, pcm: bytes) -> str:
     return f"{codec};rate={rate};samples={clip.size};rms={rms:.3f};peak={int(np.abs(wide).max(initial=0))};zc={crossings};pcm={zlib.crc32(pcm):08x}"
 
 
-def with_feature(df: DataFrame) -> DataFrame:
-    """Replace ``rate`` and ``pcm`` by the feature of the stored samples; other columns stay. Map-side only."""
-    rest = [c for c in df.columns if c not in ("rate", "pcm", "feature")]
-    schema = df.select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("string").alias("feature")).schema
-    codec = rest.index("codec")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, rates, blobs = batch.column(codec), batch.column(len(rest)), batch.column(len(rest) + 1)
-            made = [pcm_feature(n.as_py(), r.as_py(), x.as_py()) if x.is_valid else None for n, r, x in zip(names, rates, blobs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(made, pa.string())], names=schema.names)
-
-    return df.select(*[F.col(f"`{c}`") for c in [*rest, "rate", "pcm"]]).mapInArrow(run, schema)
-
-
-def decode_media(df: DataFrame, media: str = "media", keep_pcm: bool = True) -> DataFrame:
-    """Decode a WAV column: payload digests and sizes, codec, features and (``keep_pcm``) the resampled 16-bit samples.
+def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
+    """Decode a WAV column: payload digests and sizes, codec, features and the resampled 16-bit samples.
 
     Columns added: payload_bytes, payload_sha256, tail_crc32 (last 16 bytes), codec, feature, and rate (twice the stored
-    one) with pcm (little-endian 16-bit at that rate). Null media give nulls. The feature lists codec, samples, root mean square, peak and
-    zero crossings of the expanded clip and the checksum of the resampled one. Other columns but the media stay.
+    one) with pcm (little-endian 16-bit at that rate). Null media give nulls, an empty table gives none. The feature lists
+    codec, samples, root mean square, peak and zero crossings of the expanded clip and the checksum of the resampled one.
+    Repeated rows stay, as do other columns but the media; columns of the new names are replaced. Map-side only.
     """
-    added = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "codec": "string", "feature": "string"} | ({"rate": "long", "pcm": "binary"} if keep_pcm else {})
+    added = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "codec": "string", "feature": "string", "rate": "long", "pcm": "binary"}
     rest = [c for c in df.columns if c not in added and c != media]
     schema = df.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(t).alias(n) for n, t in added.items()]).schema
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -220,8 +206,8 @@ def decode_media(df: DataFrame, media: str = "media", keep_pcm: bool = True) ->
         for (codec, rate, _, payload), doubled in zip(parts, resample_double(clips)):
             pcm = doubled.astype("<i2").tobytes()
             text = pcm_feature(NAMES[codec], 2 * rate, pcm)
-            row = {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "codec": NAMES[codec], "feature": text}
-            out.append(row | ({"rate": 2 * rate, "pcm": pcm} if keep_pcm else {}))
+            sha256, tail = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
+            out.append({"payload_bytes": len(payload), "payload_sha256": sha256, "tail_crc32": tail, "codec": NAMES[codec], "feature": text, "rate": 2 * rate, "pcm": pcm})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +224,8 @@ def decode_media(df: DataFrame, media: str = "media", keep_pcm: bool = True) ->
 
 
 def op10_telephony(spark, sf_dir: str) -> DataFrame:
+    """The clips' 8-bit form is written and read back; the resampled PCM is a column of the result, stored wherever that is written."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = materialize(with_media(docs), "telephony", compression="zstd")
     stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    decoded = materialize(decode_media(stored).drop("feature"), "telephony-pcm", compression="zstd")
-    return with_feature(decoded).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return decode_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm")
