@@ -25,8 +25,10 @@ from .common import chunks, materialize, table
 ORDER = 5
 #: Context before a text's first byte.
 LEAD = b"\n" * (ORDER - 1)
-#: n-grams whose losses may be broadcast (24 bytes each); beyond it the documents' n-grams are joined to the model.
-BROADCAST_GRAMS = 2_000_000
+#: n-grams whose losses may be broadcast (40 bytes each); beyond it each chunk of texts gets its own slice of the model.
+BROADCAST_GRAMS = 1_000_000
+#: Bytes of text that share a slice of a model too large to broadcast.
+CHUNK_BYTES = 16_000_000
 #: Distinct n-grams that one task gathers before it passes counts on.
 HELD_GRAMS = 2_000_000
 _CHUNK_BYTES = 3_000_000
@@ -49,7 +51,7 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def gram_counts(df: DataFrame, text: str = "text", target: str = "is_target", fold: str = "fold") -> DataFrame:
+def gram_counts(df: DataFrame, text: str = "text", target: str = "target", fold: str = "fold") -> DataFrame:
     """(gram, t0, t1, b0, b1): counts in target and all texts of each fold. Tasks count their texts before the shuffle."""
     schema = "gram long, t0 long, t1 long, b0 long, b1 long"
 
@@ -118,54 +120,114 @@ def gram_losses(counts: DataFrame) -> DataFrame:
 ADDED = {"n_tokens": "long", "ce_target": "double", "ce_background": "double", "score": "double"}
 
 
-def _means(sums_t, sums_b, sizes) -> list[pa.Array]:
-    empty = sizes == 0
-    n = np.maximum(sizes, 1)
-    t, b = sums_t / n, sums_b / n
-    return [pa.array(sizes, pa.int64()), *(pa.array(x, pa.float64(), mask=empty) for x in (t, b, t - b))]
+class _Model:
+    """Losses of some n-grams, and the sums of a list of texts under them."""
 
+    def __init__(self, grams: np.ndarray, loss: np.ndarray):
+        self.at, self.loss = IntTable(grams.size), loss
+        self.at.put(grams, np.arange(grams.size, dtype=np.int32))
 
-def _score_by_broadcast(df: DataFrame, losses: DataFrame, text: str, fold: str) -> DataFrame:
+    def columns(self, texts: list[bytes], fold: np.ndarray) -> list[pa.Array]:
+        """The columns of ADDED; every n-gram of the texts must be known."""
+        gram, sizes = grams_of(texts)
+        row, other = self.at.get(gram), 2 * (1 - np.repeat(fold, sizes))
+        doc, n = np.repeat(np.arange(len(texts)), sizes), np.maximum(sizes, 1)
+        t, b = (np.bincount(doc, self.loss[row, other + k], len(texts)) / n for k in (0, 1))
+        return [pa.array(sizes, pa.int64()), *(pa.array(x, pa.float64(), mask=sizes == 0) for x in (t, b, t - b))]
+
+
+def _scored(batch: pa.RecordBatch, model: _Model) -> Iterator[pa.RecordBatch]:
+    """Scores of a batch of (doc, text, fold), a bounded number of bytes at a time."""
+    fold = batch.column(2).to_numpy(zero_copy_only=False)
+    for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.binary_length(batch.column(1).cast(pa.binary())), 0).to_pylist(), _CHUNK_BYTES):
+        columns = model.columns(_binary(batch.column(1).slice(a, b - a)), fold[a:b])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["doc", *ADDED])
+
+
+def _score_by_broadcast(rows: DataFrame, losses: DataFrame) -> DataFrame:
     """Scores by a table of all losses on every executor; its size has been checked."""
-    found = losses.select("gram", *[F.col(c).cast("float") for c in LOSSES]).toArrow()
-    shared = df.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), np.stack([found[c].to_numpy() for c in LOSSES], 1)))
+    found = losses.select("gram", *LOSSES).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), np.stack([found[c].to_numpy() for c in LOSSES], 1)))
     del found
-    rest = [c for c in df.columns if c not in (text, fold)]
-    schema = df.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(t).alias(n) for n, t in ADDED.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, loss = shared.value
-        at = IntTable(keys.size)
-        at.put(keys, np.arange(keys.size, dtype=np.int32))
+        model = _Model(*shared.value)
         for batch in batches:
-            column = batch.column(len(rest))
-            fold_ = np.array(batch.column(len(rest) + 1).to_pylist(), np.int64)
-            for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist(), _CHUNK_BYTES):
-                gram, sizes = grams_of(_binary(column.slice(a, b - a)))
-                row, other = at.get(gram), 2 * (1 - np.repeat(fold_[a:b], sizes))
-                doc = np.repeat(np.arange(b - a), sizes)
-                sums = [np.bincount(doc, loss[row, other + k], b - a) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(rest)], *_means(*sums, sizes)], names=schema.names)
+            yield from _scored(batch, model)
 
-    return df.select(*[F.col(f"`{c}`") for c in [*rest, text, fold]]).mapInArrow(run, schema)
+    return rows.select("doc", "text", "fold").mapInArrow(run, _scored_schema(rows))
 
 
-def _score_by_join(df: DataFrame, losses: DataFrame, text: str, fold: str) -> DataFrame:
-    """The same scores where the model is too large to broadcast: each document's distinct n-grams are joined to it."""
-    rows = materialize(df.withColumn("_row", F.expr("uuid()")), "lm-rows")
+def _scored_schema(rows: DataFrame):
+    return rows.select("doc", *[F.lit(None).cast(t).alias(n) for n, t in ADDED.items()]).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _score_by_slices(rows: DataFrame, losses: DataFrame) -> DataFrame:
+    """The same scores where the model is too large to broadcast: each chunk of texts gets the losses of its own n-grams.
+
+    A chunk is a run of texts of CHUNK_BYTES bytes (or one longer text). Its distinct n-grams are joined to the model, and
+    its slice of the model and its texts meet in one shuffle, sorted so that the slice comes first.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    schema = rows.select("doc", "text", "fold", F.lit(0).cast("long").alias("chunk")).schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, 0
         for batch in batches:
-            for row, text_, fold_ in zip(batch.column(0), _binary(batch.column(1)), batch.column(2)):
-                gram, n = np.unique(grams_of([text_])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * gram.size, pa.string()), pa.array([fold_.as_py()] * gram.size, pa.int64()), pa.array(gram), pa.array(n)], names=["_row", "fold", "gram", "n"])
+            out = []
+            for row, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if chunk is None or held + n > CHUNK_BYTES:
+                    chunk, held = row, 0
+                held += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=["doc", "text", "fold", "chunk"])
+
+    numbered = rows.select("doc", "text", "fold", F.monotonically_increasing_id().alias("row"), size.alias("size"))
+    numbered = materialize(numbered.mapInArrow(number, schema), "lm-chunks", compression="zstd")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, grams = None, np.zeros(0, np.int64)
+        for batch in batches:
+            texts = _binary(batch.column(1))
+            for chunk, a, b in _runs(batch.column(0).to_numpy()):
+                if chunk != at and grams.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(grams.size, at)), pa.array(grams)], names=["chunk", "gram"])
+                    grams = np.zeros(0, np.int64)
+                at = chunk
+                grams = np.union1d(grams, grams_of(texts[a:b])[0])
+        if grams.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(grams.size, at)), pa.array(grams)], names=["chunk", "gram"])
+
+    slices = numbered.select("chunk", "text").mapInArrow(wanted, "chunk long, gram long").join(losses, "gram")
+    both = slices.select("chunk", "gram", *LOSSES).unionByName(numbered, allowMissingColumns=True)
+    both = both.select("doc", "text", "fold", "chunk", "gram", *LOSSES).repartition("chunk").sortWithinPartitions("chunk", F.col("gram").asc_nulls_last())
 
-    each = rows.select("_row", F.col(text), F.col(fold).cast("long")).mapInArrow(run, "_row string, fold long, gram long, n long").join(losses, "gram")
-    pick = {k: F.sum(F.when(F.col("fold") == 0, F.col(f"l{k}1")).otherwise(F.col(f"l{k}0")) * F.col("n")) for k in "tb"}
-    sums = each.groupBy("_row").agg(F.sum("n").alias("n_tokens"), pick["t"].alias("st"), pick["b"].alias("sb"))
-    out = rows.join(sums, "_row", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
-    out = out.withColumns({"ce_target": F.col("st") / F.col("n_tokens"), "ce_background": F.col("sb") / F.col("n_tokens"), "score": (F.col("st") - F.col("sb")) / F.col("n_tokens")})
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, fold)], *ADDED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model, parts = None, None, []
+        for batch in batches:
+            for chunk, a, b in _runs(batch.column(3).to_numpy()):
+                if chunk != at:
+                    at, model, parts = chunk, None, []
+                part = batch.slice(a, b - a)
+                told = part.num_rows - part.column(4).null_count
+                if told:
+                    parts.append((part.column(4)[:told].to_numpy(), np.stack([part.column(5 + k)[:told].to_numpy() for k in range(len(LOSSES))], 1)))
+                if told < part.num_rows:
+                    if model is None:
+                        # a chunk that two tasks read asked for some n-grams twice
+                        grams, first = np.unique(np.concatenate([g for g, _ in parts] or [np.zeros(0, np.int64)]), return_index=True)
+                        loss = np.concatenate([x for _, x in parts] or [np.zeros((0, len(LOSSES)))])[first]
+                        model, parts = _Model(grams, loss), []
+                    yield from _scored(part.slice(told).select([0, 1, 2]), model)
+
+    return both.mapInArrow(run, _scored_schema(rows))
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, stop) of runs of equal values."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), values.size] if values.size else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(values[a]), a, b
 
 
 def cross_entropy_difference(df: DataFrame, target: Column, doc_id: str = "doc_id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -173,14 +235,16 @@ def cross_entropy_difference(df: DataFrame, target: Column, doc_id: str = "doc_i
 
     ``target`` says which rows make up the target; null is no. Null and empty texts have no tokens and null scores. Without
     any target text both models are uniform and scores are 0. Rows that repeat are counted as often as they occur; rows
-    without an id are in one fold. Columns of the new names are replaced.
+    without an id are in one fold. Columns of the new names are replaced, all other names are free. ``df`` is evaluated
+    once. ``broadcast_grams`` picks how losses reach the texts; scores are the same bit for bit.
     """
-    keep = [c for c in df.columns if c not in ADDED]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(target, F.lit(False)).alias("_target"), F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 2, F.lit(0)).alias("_fold"))
-    counts = materialize(gram_counts(rows, text, "_target", "_fold"), "lm-counts")
-    losses = gram_losses(counts)
-    score = _score_by_broadcast if losses.count() <= broadcast_grams else _score_by_join
-    return score(rows.drop("_target"), losses, text, "_fold")
+    keep = [c for c in df.columns if c not in ADDED and c != text]
+    fold = F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 2, F.lit(0))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), fold.alias("fold"))
+    rows = materialize(rows, "lm-rows", compression="zstd")
+    losses = gram_losses(materialize(gram_counts(rows, "text", "target"), "lm-counts"))
+    score = _score_by_broadcast if losses.count() <= broadcast_grams else _score_by_slices
+    return score(rows.drop("target"), losses).select("doc.*", *ADDED)
 
 
 def op1_ce_difference(spark, sf_dir: str) -> DataFrame:
