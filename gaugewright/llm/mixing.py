@@ -1,15 +1,21 @@
 """Mixing sources to target weights: water-filled targets, certain whole copies, then a Pareto order sample of the rest.
 
-A source whose target is ``c`` times its size copies each document ``floor(c)`` times for certain. The remaining
-fraction ``p`` is sampled: documents are ranked by the odds of a reproducible uniform number divided by the odds of their
-inclusion ``p``, and taken from the lowest rank until the source's remaining words are used up, so the sample's size in
-words is fixed. A document that no longer fits ends a pass; later passes offer what is left to the next documents in rank
-order that fit. Sums over ranks come from bins of the rank (partial sums, then one window inside each bin), so no task
-sees a whole source, and all that is kept of a pass is one row per source: its highest taken rank.
+Within a source a document's expected copies grow with its length: they are the source's level times the number of binary
+digits of its size in words, at most ``max_copies``, and the level is solved so that the expected words meet the source's
+target. ``floor`` of the copies is taken for certain. The remaining fraction ``p``, which differs between documents, is
+sampled: documents are ranked by the odds of a reproducible uniform number divided by the odds of their inclusion ``p``,
+and taken from the lowest rank until the source's remaining words are used up, so the sample's size in words is fixed. A
+document that no longer fits ends a pass; later passes offer what is left to the next documents in rank order that fit,
+until a source misses at most TOLERANCE of its target or nothing fits.
+
+Sums over ranks come from bins of the rank (partial sums, then one window inside each bin), so no task sees a whole
+source. What is kept of a source is one row per length class (64 at most), with the highest taken rank of each pass.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,12 +25,13 @@ from .common import materialize, table
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_COPIES = 2
-PASSES = 3
+#: Part of its target that a source may miss; passes end where no source misses more or nothing fits.
+TOLERANCE = 0.001
 SEED = "mix"
 #: Bins of the rank in each source. The work is the same for any number; more bins give smaller windows.
 RANK_BINS = 4096
-#: Per-source rows that may be broadcast; with more sources the join is left to Spark.
-BROADCAST_SOURCES = 20_000
+#: Rows of the plan (sources times length classes) that may be broadcast; with more the join is left to Spark.
+BROADCAST_ROWS = 50_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -69,7 +76,7 @@ def _key() -> Column:
 
 
 def _in_pass(k: int) -> Column:
-    """Whether pass k takes the row, if no earlier one did."""
+    """Whether pass k takes the row, if no earlier one did (where pass k takes nothing of a source, ``upto`` is null)."""
     return F.coalesce((F.col("size") <= F.col(f"room{k}")) & (_key() <= F.col(f"upto{k}")), F.lit(False))
 
 
@@ -80,29 +87,53 @@ def _taken(k: int) -> Column:
     return out
 
 
-def _join_sources(df: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
-    small = sources.withColumnRenamed("source", "_source")
-    return df.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def length_weight(size: str | Column) -> Column:
+    """Weight of a document of so many words: the number of its size's binary digits, at most 64."""
+    return F.length(F.bin(size))
 
 
-def mixing_plan(sizes: DataFrame, seed: str = SEED, weights=WEIGHTS, budget: float = BUDGET, max_copies: int = MAX_COPIES, passes: int = PASSES) -> tuple[DataFrame, bool]:
-    """One row per source with its target, whole copies, share to sample and highest taken rank of each pass; and whether it is small enough to broadcast.
+def class_copies(sizes: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """One row per source and length class: (source, weight, source_size, target, whole, share, room0).
 
-    ``sizes`` has columns doc_id, source, size and is read several times: pass a written table.
+    Copies are ``least(max_copies, level * weight)``; the level is that of the heaviest class that it leaves below
+    ``max_copies`` once all heavier ones are there. ``room0`` are the words that whole copies leave to the sample. The
+    windows run over a source's classes, 64 rows at most.
+    """
+    c = sizes.groupBy("source", length_weight("size").alias("weight")).agg(F.sum("size").alias("words"))
+    down, all_ = W.partitionBy("source").orderBy(F.desc("weight")), W.partitionBy("source")
+    c = c.withColumn("full", F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("double"))
+    c = c.withColumn("rest", F.sum(F.col("words") * F.col("weight")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing)).cast("double"))
+    c = c.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    c = c.withColumn("level", F.try_divide(F.col("target") - max_copies * F.col("full"), F.col("rest")))
+    is_open = F.col("level") * F.col("weight") < max_copies
+    c = c.withColumn("level", F.max(F.when(is_open, F.struct("weight", "level"))).over(all_)["level"])
+    copies = F.when(F.col("source_size") > 0, F.coalesce(F.least(F.col("level") * F.col("weight"), F.lit(float(max_copies))), F.lit(float(max_copies)))).otherwise(0.0)
+    c = c.withColumn("copies", copies).withColumn("whole", F.floor("copies")).withColumn("share", F.col("copies") - F.col("whole"))
+    c = c.withColumn("room0", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(all_))
+    return c.select("source", "weight", "source_size", "target", "whole", "share", "room0")
+
+
+def _join_plan(df: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    small = plan.withColumnsRenamed({"source": "_source", "weight": "_weight"})
+    on = F.col("source").eqNullSafe(F.col("_source")) & (length_weight("size") == F.col("_weight"))
+    return df.join(F.broadcast(small) if few else small, on).drop("_source", "_weight")
+
+
+def mixing_plan(sizes: DataFrame, seed: str = SEED, weights=WEIGHTS, budget: float = BUDGET, max_copies: int = MAX_COPIES) -> tuple[DataFrame, bool, int]:
+    """One row per source and length class with target, whole copies, share to sample and highest taken rank of each pass; whether it is small enough to broadcast; and the number of passes.
+
+    ``sizes`` has columns doc_id, source, size and is read once a pass: pass a written table. Every pass takes a document
+    of each source that still misses over TOLERANCE of its target and has one that fits, and what fits gets rarer fast.
     """
-    plan = source_targets(sizes, weights=weights, budget=budget, max_copies=max_copies)
-    ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.col("whole"))
-    plan = plan.withColumn("room0", F.when(F.col("share") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
+    plan = class_copies(sizes, source_targets(sizes, weights=weights, budget=budget, max_copies=max_copies), max_copies)
     plan = materialize(plan, "mix-targets")
-    few = plan.count() <= BROADCAST_SOURCES
-    for k in range(passes):
-        rows = _ranked(_join_sources(sizes, plan, few), "doc_id", seed)
-        rows = rows.where((F.col("share") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{k}")) & ~_taken(k))
-        odds = F.col("_rank") * (F.col("share") / (1 - F.col("share")))
-        rows = rows.withColumn("bin", F.floor(odds / (1 + odds) * RANK_BINS)).select("source", "bin", "size", f"room{k}", "_rank", "_draw")
+    few = plan.count() <= BROADCAST_ROWS
+    for k in count():
+        rows = _ranked(_join_plan(sizes, plan, few), "doc_id", seed)
+        rows = rows.where((F.col("share") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col(f"room{k}")) & (F.col(f"room{k}") > F.col("target") * TOLERANCE) & ~_taken(k))
+        rows = rows.withColumn("bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * RANK_BINS)).select("source", "bin", "size", f"room{k}", "_rank", "_draw")
         bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-        below = F.sum("in_bin").over(W.partitionBy("source").orderBy("bin")) - F.col("in_bin")
+        below = F.sum("in_bin").over(W.partitionBy("source").orderBy("bin")) - F.col("in_bin")  # RANK_BINS rows a source at most
         bins = bins.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), below.alias("below"))
         # sums up to a rank include all rows of that rank: repeated rows are taken together or not at all
         rows = rows.withColumn("inside", F.sum("size").over(W.partitionBy("source", "bin").orderBy("_rank", "_draw")))
@@ -112,36 +143,44 @@ def mixing_plan(sizes: DataFrame, seed: str = SEED, weights=WEIGHTS, budget: flo
         plan = plan.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
         plan = plan.withColumn(f"room{k + 1}", F.col(f"room{k}") - F.coalesce(F.col("_used"), F.lit(0))).drop("_source", "_used")
         plan = materialize(plan, "mix-plan")
-    return plan, few
+        if plan.where(F.col(f"upto{k}").isNotNull()).isEmpty():
+            return plan, few, k
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS, budget: float = BUDGET, max_copies: int = MAX_COPIES, passes: int = PASSES) -> DataFrame:
+def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS, budget: float = BUDGET, max_copies: int = MAX_COPIES) -> DataFrame:
     """All rows of ``df`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (0 to ``max_copies``).
 
-    Null sources are one source, the last; null texts have size 0. A row without words is copied as its source's whole
-    copies say. Rows that repeat a document id draw the same number. No row is dropped, and a rerun gives the same copies.
+    Null sources are one source, the last; null texts have size 0. A row without words is copied as often as whole copies
+    of the shortest texts of its source. Rows that repeat a document id and size draw the same number and are taken
+    together or not at all. No row is dropped, a rerun gives the same copies, and an empty table gives no rows. Columns of
+    the four new names are replaced, all other names are free.
     """
-    size = word_count(text)
-    sizes = materialize(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
-    plan, few = mixing_plan(sizes, seed, weights, budget, max_copies, passes)
+    df = df.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    size = word_count(F.col(f"`{text}`"))
+    sizes = materialize(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size")), "mix-sizes")
+    plan, few, passes = mixing_plan(sizes, seed, weights, budget, max_copies)
     kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    rows = df.select(kept, F.col(doc_id).alias("_id"), F.col(source).alias("source"), size.alias("size"))
+    rows = df.select(kept, F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{source}`").alias("source"), size.alias("size"))
     return _copies(rows, plan, few, seed, passes).select("_row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
 
 
 def _copies(rows: DataFrame, plan: DataFrame, few: bool, seed: str, passes: int) -> DataFrame:
-    rows = _ranked(_join_sources(rows, plan, few), "_id", seed)
+    rows = _ranked(_join_plan(rows, plan, few), "_id", seed)
     return rows.withColumn("copies", F.col("whole") + F.when(F.coalesce(F.col("size") > 0, F.lit(False)) & _taken(passes), 1).otherwise(0))
 
 
 def op4_pareto_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
-    plan, few = mixing_plan(sizes)
-    rows = _copies(sizes.withColumn("_id", F.col("doc_id")), plan, few, SEED, PASSES)
+    plan, few, passes = mixing_plan(sizes)
+    rows = _copies(sizes.withColumn("_id", F.col("doc_id")), plan, few, SEED, passes)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+#: Passes written out in SQL; more than any source of the small tables needs.
+ORACLE_PASSES = 24
+
+
 def _oracle() -> str:
     weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
     sql = f"""
@@ -156,21 +195,27 @@ s2 AS (
   FROM s1 WINDOW b AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT level AS open_level FROM s2 WHERE level * weight < cap ORDER BY cap / weight, place LIMIT 1),
 s3 AS (SELECT source, source_size, CASE WHEN open_level * weight < cap THEN open_level * weight ELSE cap END AS target FROM s2 LEFT JOIN lv ON true),
-s4 AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END AS ratio FROM s3),
-p0 AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share,
-              CASE WHEN ratio - floor(ratio) > 0 THEN target - floor(ratio) * source_size ELSE 0 END AS room FROM s4),
+c0 AS (SELECT source, length(bin(size)) AS weight, CAST(sum(size) AS BIGINT) AS words FROM docs GROUP BY ALL),
+c1 AS (
+  SELECT c0.*, s3.source_size, s3.target,
+         (s3.target - {MAX_COPIES} * CAST(coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+           / nullif(CAST(sum(words * weight) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS own_level
+  FROM c0 JOIN s3 ON c0.source IS NOT DISTINCT FROM s3.source),
+c2 AS (SELECT *, arg_max(own_level, weight) FILTER (WHERE own_level * weight < {MAX_COPIES}) OVER (PARTITION BY source) AS level FROM c1),
+c3 AS (SELECT *, CASE WHEN source_size > 0 THEN coalesce(CASE WHEN level * weight < {MAX_COPIES} THEN level * weight END, CAST({MAX_COPIES} AS DOUBLE)) ELSE 0 END AS copies FROM c2),
+p0 AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS share, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS room FROM c3),
 d0 AS (
   SELECT d.doc_id, d.source, d.size, d.draw, p.source_size, p.target, p.whole, p.share, p.room, false AS got,
          CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS rank
   FROM (SELECT *, (CAST(CAST('0x' || substr(draw, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM docs) d
-  JOIN p0 p ON d.source IS NOT DISTINCT FROM p.source)"""
-    for k in range(PASSES):
+  JOIN p0 p ON d.source IS NOT DISTINCT FROM p.source AND length(bin(d.size)) = p.weight)"""
+    for k in range(ORACLE_PASSES):
         sql += f""",
-e{k} AS (SELECT *, share > 0 AND size > 0 AND size <= room AND NOT got AS can FROM d{k}),
+e{k} AS (SELECT *, share > 0 AND size > 0 AND size <= room AND room > target * {TOLERANCE} AND NOT got AS can FROM d{k}),
 f{k} AS (SELECT *, can AND sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, draw) <= room AS now FROM e{k}),
 d{k + 1} AS (SELECT doc_id, source, size, draw, source_size, target, whole, share, room - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS room, got OR now AS got, rank FROM f{k})"""
     return sql + f"""
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN got THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d{PASSES}"""
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN got THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d{ORACLE_PASSES}"""
 
 
 ORACLE_SQL = {"op4_pareto_mixing": _oracle()}
