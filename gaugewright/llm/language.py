@@ -20,16 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bytebpe import presplit, ragged, range_hash, spelled, vocabulary
-from .common import chunks, table, vocabulary_path
+from .common import CHUNK_CHARS, chunks, table, vocabulary_path
 
 UNKNOWN = "und"
 #: Labelled texts per language that the fit uses: those with the smallest hash of their id. Prediction covers all texts.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages that one model may hold, those with most sampled texts first; bounds the model that executors get.
-MAX_LANGUAGES = 200
+#: Sampled ids that may be broadcast to the texts; with more (hundreds of languages) the join shuffles.
+BROADCAST_IDS = 100_000
+#: Languages whose dense piece tables are held at a time; a model with more is scored block by block, with the same results.
+LANGUAGE_BLOCK = 16
 ROUNDS = 3
 SMOOTHING = 0.01
-REMEMBERED_WORDS = 500_000
+#: Bytes of word scores that one task remembers between batches; emptied beyond it (results don't change).
+REMEMBERED_BYTES = 32_000_000
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +109,10 @@ def _words(texts: list[str]):
         return w, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     keep = np.flatnonzero(w.letters)
     hashes, sample, back = np.unique(range_hash(w.buffer, w.start, w.stop)[keep], return_index=True, return_inverse=True)
-    return w, keep[sample], w.doc[keep], back, hashes
+    order = np.argsort(sample)  # by first occurrence: hashes differ between processes
+    rank = np.empty(order.size, np.int64)
+    rank[order] = np.arange(order.size)
+    return w, keep[sample[order]], w.doc[keep], rank[back], hashes[order]
 
 
 def fit_pieces(texts: list[str], path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -129,86 +135,108 @@ def _held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """(languages, matrix of piece log probabilities by language), fitted on at most ``per_language`` whole texts of each.
+#: A fitted language: its name, its pieces with a count (ids, log probabilities), and the log probability of any other.
+Language = tuple[str, np.ndarray, np.ndarray, float]
+
+
+def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, path: str | None = None) -> list[Language]:
+    """Every language of the rows, in order of names, fitted on at most ``per_language`` whole texts of each.
 
     Rows with null text, language or id are not learned from. The sample is chosen on the id and language columns alone,
-    then its texts are read. An empty table gives no languages.
+    then its texts are read. An empty table gives no languages. What reaches the driver are the pieces that the sample
+    uses: it grows with the number of languages, not of documents.
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
+    # a task passes on per_language rows of a language at most (the window's group limit works before the shuffle)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    ids = df.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).where("id is not null and lang is not null")
+    ids = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang")).where("id is not null and lang is not null")
     picked = ids.withColumn("h", F.xxhash64("id")).withColumn("r", rank).where(F.col("r") <= per_language)
-    spread = picked.groupBy("lang").agg(F.collect_set("id").alias("ids"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    sample = spread.select("lang", F.explode("ids").alias("id"))
-    # the sample has at most per_language * MAX_LANGUAGES rows, ids only
-    rows = df.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(sample), ["id", "lang"])
+    sample = picked.select("lang", "id").distinct()
+    rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    small = sample.count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(sample) if small else sample, ["id", "lang"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in pdf["text"] if isinstance(t, str))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "log_p": [fit_pieces(texts, path)]})
+        log_p = fit_pieces(sorted(t for t in pdf["text"] if isinstance(t, str)), path)
+        other = log_p.min()
+        held = np.flatnonzero(log_p > other)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "pieces": [held], "log_p": [log_p[held]], "other": [other]})
 
-    found = sorted((r["lang"], r["log_p"]) for r in rows.groupBy("lang").applyInPandas(fit, "lang string, log_p array<double>").collect())
-    return [x for x, _ in found], np.array([p for _, p in found]) if found else np.zeros((0, 0))
+    found = rows.groupBy("lang").applyInPandas(fit, "lang string, pieces array<int>, log_p array<double>, other double").toArrow()
+    return sorted((r["lang"], np.array(r["pieces"], np.int32), np.array(r["log_p"], float), r["other"]) for r in found.to_pylist())
 
 
 class Scorer:
     """Scores texts; remembers the words it has met."""
 
-    def __init__(self, log_p: np.ndarray, path: str):
-        self.log_p, self.path = np.ascontiguousarray(log_p.T), path
+    def __init__(self, model: list[Language], path: str):
+        self.model, self.path, self.size = model, path, _pieces(path)[0].size
+        self.one_block = self._dense(model) if len(model) <= LANGUAGE_BLOCK else None
         self._forget()
 
+    def _dense(self, languages: list[Language]) -> np.ndarray:
+        out = np.empty((self.size, len(languages)))
+        for k, (_, pieces, log_p, other) in enumerate(languages):
+            out[:, k] = other
+            out[pieces, k] = log_p
+        return out
+
     def _forget(self) -> None:
-        self.known, self.value = np.zeros(0, np.uint64), np.zeros((0, self.log_p.shape[1]))
+        self.known, self.value = np.zeros(0, np.uint64), np.zeros((0, len(self.model)))
+
+    def _words_log_likelihood(self, lattice: Lattice) -> np.ndarray:
+        if self.one_block is not None:
+            return lattice.word_log_likelihood(self.one_block)
+        blocks = (self._dense(self.model[k : k + LANGUAGE_BLOCK]) for k in range(0, len(self.model), LANGUAGE_BLOCK))
+        return np.concatenate([lattice.word_log_likelihood(b) for b in blocks], 1)
 
     def log_likelihood(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) log likelihoods, and the number of words with letters of each text."""
         w, sample, doc, back, hashes = _words(texts)
-        if self.known.size > REMEMBERED_WORDS:
+        if self.value.nbytes > REMEMBERED_BYTES:
             self._forget()
         place = np.minimum(np.searchsorted(self.known, hashes), max(self.known.size - 1, 0))
         met = self.known[place] == hashes if self.known.size else np.zeros(hashes.size, bool)
         new = sample[~met]
         if new.size:
-            value = Lattice(w.buffer, w.start[new], w.stop[new], self.path).word_log_likelihood(self.log_p)
+            value = self._words_log_likelihood(Lattice(w.buffer, w.start[new], w.stop[new], self.path))
             known = np.concatenate([self.known, hashes[~met]])
             order = np.argsort(known)
             self.known, self.value = known[order], np.concatenate([self.value, value])[order]
-        value = self.value[np.searchsorted(self.known, hashes)][back]
-        out = np.stack([np.bincount(doc, value[:, k], len(texts)) for k in range(value.shape[1])], 1) if value.shape[1] else np.zeros((len(texts), 0))
+        value, place = self.value, np.searchsorted(self.known, hashes)[back]
+        out = np.stack([np.bincount(doc, value[place, k], len(texts)) for k in range(value.shape[1])], 1)
         return out, np.bincount(doc, minlength=len(texts))
 
-    def predict(self, texts: list[str], languages: list[str]) -> tuple[list[str], list[float]]:
-        if not languages:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.model:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         ll, words = self.log_likelihood(texts)
         best = ll.argmax(1)
         score = 1.0 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
         none = words == 0
-        return [UNKNOWN if n else languages[b] for n, b in zip(none, best)], np.where(none, 0.0, score).tolist()
+        return [UNKNOWN if n else self.model[b][0] for n, b in zip(none, best)], np.where(none, 0.0, score).tolist()
 
 
-def predict_language(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None) -> DataFrame:
+def predict_language(df: DataFrame, model: list[Language], text: str = "text", path: str | None = None) -> DataFrame:
     """Add ``lang_pred`` and ``score``, the posterior of the predicted language under equal priors (0 to 1).
 
     Null texts and texts without a letter are ``und`` with score 0, as all are if the model has no languages. Only the
-    text is looked at, whole; columns of the new names are replaced, others stay. Map-side only.
+    text is looked at, whole; ties go to the first name; columns of the new names are replaced, others stay. Map-side only.
     """
-    languages, log_p = model
     path = path or vocabulary_path("byte_bpe_50k.json")
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in rest])
     schema = source.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    place = rest.index(text)
+    place, limit = rest.index(text), CHUNK_CHARS * LANGUAGE_BLOCK // max(LANGUAGE_BLOCK, len(model))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(log_p, path)
+        scorer = Scorer(shared.value, path)
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
-            for a, b in chunks(range(batch.num_rows), sizes):
+            for a, b in chunks(range(batch.num_rows), sizes, limit):
                 part = batch.slice(a, b - a)
-                lang, score = scorer.predict([x or "" for x in part.column(place).to_pylist()], languages)
+                lang, score = scorer.predict([x or "" for x in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return source.mapInArrow(run, schema)
