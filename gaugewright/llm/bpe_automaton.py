@@ -27,8 +27,10 @@ from .common import chunks, table, vocabulary_path
 
 NEVER = np.int32(2**31 - 1)
 DEAD = -2
-#: Ids of distinct words that one task remembers between batches; emptied beyond it (results don't change).
-REMEMBERED_WORDS = 700_000
+#: Bytes of distinct words' ids that one task remembers between batches; emptied beyond it (results don't change).
+REMEMBERED_BYTES = 48_000_000
+#: Arcs that a process keeps in its transition table (some 24 bytes each) between batches; emptied beyond it.
+TABLE_ARCS = 2_000_000
 
 
 class MergeAutomaton:
@@ -155,6 +157,14 @@ class MergeAutomaton:
         """Bytes of the labels, one after another."""
         return self.label_bytes[ragged(self.label_start[ids], self.label_size[ids])]
 
+    def decoded(self, packed: pa.Array) -> pa.Array:
+        """Texts of packed ids; null is none."""
+        parts = [np.frombuffer(x.as_buffer() or b"", "<u4") for x in packed]
+        flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        data = self.decode(flat).tobytes()
+        ends = np.append(0, np.cumsum(self.label_size[flat]))[np.cumsum([x.size for x in parts], dtype=np.int64)].tolist()
+        return pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip([0, *ends], ends)], pa.string())
+
 
 @lru_cache(maxsize=2)
 def automaton(path: str) -> MergeAutomaton:
@@ -178,8 +188,10 @@ class Encoder:
         w = presplit(texts, self.vocab.special)
         if not w.start.size:
             return [np.zeros(0, np.int32) for _ in texts]
-        if self.known.size > REMEMBERED_WORDS:
+        if self.known.nbytes + self.at.nbytes + self.n.nbytes + self.store.nbytes > REMEMBERED_BYTES:
             self._forget()
+        if self.auto.table.used > TABLE_ARCS:
+            self.auto.table = IntTable(1 << 18)
         distinct, sample, back = np.unique(range_hash(w.buffer, w.start, w.stop), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, distinct), max(self.known.size - 1, 0))
         met = self.known[place] == distinct if self.known.size else np.zeros(distinct.size, bool)
@@ -201,16 +213,19 @@ class Encoder:
         return np.split(ids, np.cumsum(per_text)[:-1])
 
 
-def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, ids_column: str = "ids", n_column: str = "n_tokens") -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, ids_column: str = "ids", n_column: str = "n_tokens", decoded_column: str | None = None) -> DataFrame:
     """Add the token ids of ``text`` as packed little-endian unsigned 32-bit integers (``ids_column``) and their number.
 
-    A null or empty text has no ids. Special strings in texts become their one id. Other columns stay, and columns of the
-    new names are replaced. Texts are taken whole; repeated rows stay. Map-side only: no shuffle.
+    ``decoded_column`` adds the text that these ids decode to, by the same worker and automaton. A null or empty text has
+    no ids and decodes to an empty text, an empty table has no rows. Special strings in texts become their one id. Other
+    columns stay, and columns of the new names are replaced. Texts are taken whole; repeated rows stay. A word of any
+    length is one path of the automaton: memory grows with a chunk's longest word and its distinct arcs. Map-side only.
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
-    rest = [c for c in df.columns if c not in (ids_column, n_column)]
+    added = {ids_column: F.lit(b""), n_column: F.lit(0).cast("long")} | ({decoded_column: F.lit("")} if decoded_column else {})
+    rest = [c for c in df.columns if c not in added]
     source = df.select(*[F.col(f"`{c}`") for c in rest])
-    schema = source.select("*", F.lit(b"").alias(ids_column), F.lit(0).cast("long").alias(n_column)).schema
+    schema = source.select("*", *[v.alias(n) for n, v in added.items()]).schema
     place = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +234,20 @@ def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, ids
             for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()):
                 part = batch.slice(a, b - a)
                 ids = encoder.encode([x or "" for x in part.column(place).to_pylist()])
-                packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.array(map(len, ids), pa.int64())], names=schema.names)
+                new = [_packed(ids), pa.array(map(len, ids), pa.int64())]
+                if decoded_column:
+                    new.append(encoder.auto.decoded(new[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def _packed(ids: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(ids).astype("<u4") if ids else np.zeros(0, "<u4")
+    ends = np.cumsum([0, *(4 * x.size for x in ids)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
 def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None, text_column: str = "decoded") -> DataFrame:
     """Replace packed ids by the text that their labels spell (``text_column``); null ids give an empty text.
 
@@ -237,21 +260,14 @@ def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
         for batch in batches:
-            packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(len(rest)).to_pylist()]
-            for a, b in chunks(packed, [x.size * 4 for x in packed]):
+            for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.binary_length(batch.column(len(rest))), 0).to_pylist()):
                 part = batch.slice(a, b - a)
-                flat = np.concatenate(packed[a:b]).astype(np.int64)
-                data = auto.decode(flat).tobytes()
-                ends = np.append(0, np.cumsum(auto.label_size[flat]))[np.cumsum([x.size for x in packed[a:b]])].tolist()
-                texts = [data[i:j].decode("utf-8", "replace") for i, j in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], auto.decoded(part.column(len(rest)))], names=schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in [*rest, ids]]).mapInArrow(run, schema)
 
 
 def op7_bpe_automaton(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    encoded = encode_texts(docs.select("doc_id", "text")).drop("text")
-    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = decode_ids(encoded)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode_texts(docs.select("doc_id", "text"), decoded_column="decoded")
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

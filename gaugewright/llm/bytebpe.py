@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -67,11 +68,14 @@ def class_table() -> np.ndarray:
     """Class of every code point in the split pattern: letter, number, white space, other."""
     table = np.zeros(0x110000, np.uint8)
     # classes as the tokenizer library's own pattern engine has them: Unicode versions differ between packages
-    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
-    text = "".join(map(chr, points.tolist()))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            table[points[a:b]] = kind
+    splits = [(kind, Split(Regex(pattern), "removed", invert=True)) for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"))]
+    for first in range(0, 0x110000, 0x800):
+        if first == 0xD800:
+            continue  # surrogates are no characters
+        text = "".join(map(chr, range(first, first + 0x800)))
+        for kind, split in splits:
+            for _, (a, b) in split.pre_tokenize_str(text):
+                table[first + a : first + b] = kind
     for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         table[c] = SPACE
     return table
@@ -159,12 +163,17 @@ def presplit(texts: list[str], special: str | None = None) -> Words:
 
 @lru_cache(maxsize=4)
 def _multipliers(n: int) -> np.ndarray:
-    """Random odd multipliers, one per place: no two texts of a pattern can collide as they would with powers of one number."""
-    return np.random.Generator(np.random.PCG64(20240101)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+    """Random odd multipliers, one per place, secret to the process: no text can be made to collide with another."""
+    return np.random.Generator(np.random.PCG64(_secret())).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _secret() -> int:
+    return int.from_bytes(os.urandom(16), "big")
 
 
 def range_hash(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; the ranges cover the buffer without gaps. Equal bytes, equal hash."""
+    """64-bit hash of each byte range, good inside this process; the ranges cover the buffer without gaps. Equal bytes, equal hash."""
     if not start.size:
         return np.zeros(0, np.uint64)
     size = stop - start
