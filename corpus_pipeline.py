@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm.bpe_automaton import decode_ids, encode_texts
+from gaugewright.llm.bpe_automaton import encode_texts
 from gaugewright.llm.common import materialize, table
 from gaugewright.llm.language import UNKNOWN, fit_language_model, learnable, predict_language
 from gaugewright.llm.mixing import mix
@@ -35,9 +35,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian 32-bit), their digest, and that of the text they decode to."""
-    encoded = encode_texts(docs.select("doc_id", "source", "text")).drop("text")
-    decoded = decode_ids(encoded.withColumn("packed", F.col("ids")))
-    return decoded.select("doc_id", "source", "n_tokens", F.col("packed").alias("ids"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode_texts(docs.select("doc_id", "source", "text"), decoded_column="decoded")
+    return encoded.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list = [
