@@ -70,12 +70,19 @@ def leaderboard(cells: DataFrame, suite: str, name: str, metric: str = "uai_plau
 
 
 def deltas(cells: DataFrame, keys: Sequence[str], variant: str, baseline: str, metrics: Sequence[str]) -> DataFrame:
-    """Metrics of every other variant minus those of the baseline variant with the same keys."""
+    """Metrics of every other variant minus those of the baseline variant with the same keys; null where either is null."""
     base = cells.where(F.col(variant) == baseline).select(*keys, *[F.col(m).alias(f"_{m}") for m in metrics])
     got = cells.where(F.col(variant) != baseline).join(base, list(keys))
     return got.select(*keys, variant, *[(F.col(m) - F.col(f"_{m}")).alias(f"d_{m}") for m in metrics])
 
 
+def strategy_effects(cells: DataFrame, keys: Sequence[str], strategy: str, baseline: str) -> DataFrame:
+    """Change of discrimination and error by strategy, with verdicts; rows without discrimination go, a null error counts as 0."""
+    got = deltas(cells.where("disc_delta is not null").withColumn("mae", F.coalesce("mae", F.lit(0.0))), keys, strategy, baseline, ["disc_delta", "mae"])
+    a, b = verdict(F.col("d_disc_delta"), F.col("d_mae"))
+    return got.withColumns({"disc_verdict": a, "mae_verdict": b})
+
+
 def verdict(d_disc: Column, d_mae: Column) -> tuple[Column, Column]:
     return (F.when(d_disc > 0.01, "better").when(d_disc < -0.01, "worse").otherwise("same"), F.when(d_mae < -0.5, "better").when(d_mae > 0.5, "worse").otherwise("same"))
 
@@ -121,7 +128,6 @@ def monotone(curves: DataFrame, cell: Sequence[str], order: Sequence[str], level
 
 
 def pivot_means(cells: DataFrame, row: str, column: str, values: Sequence[str], metric: str) -> DataFrame:
-    """Rows by columns of mean metrics, with a footer row ``MEAN`` over all rows."""
-    rows = cells.groupBy(row).pivot(column, list(values)).agg(F.avg(metric))
-    foot = cells.groupBy(F.lit("MEAN").alias(row)).pivot(column, list(values)).agg(F.avg(metric))
-    return rows.unionByName(foot)
+    """Rows by columns of mean metrics, with a footer row ``MEAN`` over all rows; one pass over the cells."""
+    got = cells.rollup(row).agg(F.grouping(row).alias("_foot"), *[F.avg(F.when(F.col(column) == v, F.col(metric))).alias(v) for v in values])
+    return got.withColumn(row, F.when(F.col("_foot") == 1, "MEAN").otherwise(F.col(row))).drop("_foot")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.influence import gold_answer
 from ..schemas import CONTROL, CORE_ANCHORED, OFFSETS
+from ..sources.files import require
 
 DOMAINS = ("snacks", "streaming", "travel", "fitness", "coffee", "electronics")
 DIFFICULTIES = ("easy", "hard")
@@ -22,9 +23,11 @@ SPREAD = {"easy": 8, "medium": 12, "hard": 15}
 MISSING = {"easy": 0, "medium": 1, "hard": 2}
 RATINGS = 5
 WEIGHTS = (1.0, 1.0, 1.5, 1.5, 2.0)
+#: Names of ratings; a family for each item in turn.
+LABELS = ("Rating ", "Reviewer ")
+#: Distance of anchors from theta in grids without offsets.
+PLAIN_OFFSET = 25
 INSTRUCTION = "Reply with one whole number from 0 to 100."
-#: Index subsets of k visible ratings.
-SUBSETS = {1: (0,), 2: (0, 2), 3: (0, 2, 4)}
 
 
 def _uniform(seed: int, draw: Column | int, *keys: Column) -> Column:
@@ -36,8 +39,14 @@ def _normal(seed: int, draw: Column | int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(a)) * F.cos(b * F.lit(6.283185307179586))
 
 
-def item_grid(spark: SparkSession, prefix: str, n_per_cell: int = 10, domains: Sequence[str] = DOMAINS, difficulties: Sequence[str] = DIFFICULTIES, offsets: Sequence[int] = OFFSETS) -> DataFrame:
-    """Domain x difficulty x offset x 1..n with a running index in grid order, from arithmetic on one range."""
+def item_grid(spark: SparkSession, prefix: str, n_per_cell: int = 10, domains: Sequence[str] = DOMAINS, difficulties: Sequence[str] = DIFFICULTIES, offsets: Sequence[int] | None = OFFSETS) -> DataFrame:
+    """Domain x difficulty x offset x 1..n with a running index in grid order, from arithmetic on one range.
+
+    Without offsets the grid is domain x difficulty x 1..n and item ids have no offset part.
+    """
+    if offsets is None:
+        g = item_grid(spark, prefix, n_per_cell, domains, difficulties, (0,)).drop("offset")
+        return g.withColumn("item_id", F.concat_ws("-", F.lit(prefix), "domain", F.substring("difficulty", 1, 1), F.format_string("%03d", "n")))
     per_domain, per_difficulty = len(difficulties) * len(offsets) * n_per_cell, len(offsets) * n_per_cell
     g = spark.range(len(domains) * per_domain).withColumnRenamed("id", "global_idx")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
@@ -46,7 +55,13 @@ def item_grid(spark: SparkSession, prefix: str, n_per_cell: int = 10, domains: S
 
 
 def itemspecs(grid: DataFrame, seed: int = 42, rule: str = "mean") -> DataFrame:
-    """Add theta (30 to 70), five ratings around it with some missing, the gold answer and both anchors."""
+    """Add theta (30 to 70), five ratings around it with some missing, the gold answer, both anchors and template indices.
+
+    One visible rating of a hard item is mirrored (100 less its value). A grid without offsets gets anchors 25 from theta.
+    Indices are the item's place in the grid; templates take them modulo the size of their pool.
+    """
+    if "offset" not in grid.columns:
+        grid = grid.withColumn("offset", F.lit(None).cast("int"))
     key = F.col("item_id")
     theta = (30 + F.floor(_uniform(seed, 0, key) * 41)).cast("int")
     spread = F.create_map(*[F.lit(x) for kv in SPREAD.items() for x in kv])[F.col("difficulty")]
@@ -55,10 +70,24 @@ def itemspecs(grid: DataFrame, seed: int = 42, rule: str = "mean") -> DataFrame:
     # the ratings with the smallest draws are the missing ones
     ranks = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(RATINGS - 1)), lambda i: F.struct(_uniform(seed, 9, key, i).alias("u"), i.alias("i")))), lambda x: x["i"])
     gone = F.slice(ranks, F.lit(1), missing)
-    ratings = F.transform(F.sequence(F.lit(0), F.lit(RATINGS - 1)), lambda i: F.struct(i.alias("index"), F.concat(F.lit("Rating "), (i + 1).cast("string")).alias("label"), F.least(F.lit(100), F.greatest(F.lit(0), F.bround(F.col("theta") + _normal(seed, 3, key, i) * spread, 0))).cast("int").alias("value"), F.array_contains(gone, i).alias("missing")))
-    df = df.withColumn("evidence", ratings)
+    mirrored = F.when(F.col("difficulty") == "hard", F.get(ranks, missing))
+    family = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("global_idx") % len(LABELS) + 1).cast("int"))
+
+    def rating(i: Column) -> Column:
+        raw = clamped(F.col("theta") + _normal(seed, 3, key, i) * spread)
+        value = F.when(mirrored.eqNullSafe(i), 100 - raw).otherwise(raw)
+        return F.struct(i.alias("index"), F.concat(family, (i + 1).cast("string")).alias("label"), value.alias("value"), raw.alias("value_raw"), F.array_contains(gone, i).alias("missing"))
+
+    df = df.withColumn("evidence", F.transform(F.sequence(F.lit(0), F.lit(RATINGS - 1)), rating))
     gold = gold_answer(visible(F.col("evidence")), rule, F.array(*map(F.lit, WEIGHTS)))
-    return df.withColumns({"y_star": gold, "anchor_low": F.greatest(F.lit(0), F.col("theta") - F.col("offset")), "anchor_high": F.least(F.lit(100), F.col("theta") + F.col("offset"))})
+    reach = F.coalesce("offset", F.lit(PLAIN_OFFSET))
+    df = df.withColumns({"y_star": gold, "y_star_theta": F.col("theta"), "rule": F.lit(rule), "anchor_low": F.greatest(F.lit(0), F.col("theta") - reach), "anchor_high": F.least(F.lit(100), F.col("theta") + reach)})
+    return df.withColumns({f"{name}_idx": F.col("global_idx") for name in ("scenario", "question", "label", "phrasing")})
+
+
+def clamped(value: Column) -> Column:
+    """Nearest whole number from 0 to 100, halves to even."""
+    return F.least(F.lit(100), F.greatest(F.lit(0), F.bround(value, 0))).cast("int")
 
 
 def visible(evidence: Column) -> Column:
@@ -101,6 +130,15 @@ def render_views(specs: DataFrame, templates: DataFrame | None = None, condition
     return df.select("item_id", "domain", "difficulty", "offset", "condition", "relevance", "anchor_value", "anchor_start", "scenario", "evidence_text", "question", "prompt_text", "prompt_hash", "y_star")
 
 
+def _recomputed_gold(specs: DataFrame, seen: Column) -> Column:
+    """The gold answer by each item's own rule (``rule`` column, mean where there is none) and the standard weights."""
+    mean = gold_answer(seen)
+    if "rule" not in specs.columns:
+        return mean
+    weights = F.array(*map(F.lit, WEIGHTS))
+    return F.when(F.col("rule") == "median", gold_answer(seen, "median")).when(F.col("rule") == "weighted_mean", gold_answer(seen, "weighted_mean", weights)).otherwise(mean)
+
+
 def validate_specs(specs: DataFrame) -> DataFrame:
     """(item_id, error): out-of-range values, wrong numbers of missing ratings, gold that differs from its recomputation."""
     seen = visible(F.col("evidence"))
@@ -108,11 +146,11 @@ def validate_specs(specs: DataFrame) -> DataFrame:
         "theta out of range": ~F.col("theta").between(30, 70),
         "difficulty unknown": ~F.col("difficulty").isin(*SPREAD),
         "gold out of range": ~F.col("y_star").between(0, 100),
-        "offset unknown": ~F.col("offset").isin(*OFFSETS),
+        "offset unknown": F.col("offset").isNotNull() & ~F.col("offset").isin(*OFFSETS),
         "anchor out of range": ~F.col("anchor_low").between(0, 100) | ~F.col("anchor_high").between(0, 100),
         "missing ratings": F.size(F.col("evidence")) - F.size(seen) != F.create_map(*[F.lit(x) for kv in MISSING.items() for x in kv])[F.col("difficulty")],
         "rating out of range": F.exists(seen, lambda v: ~v.between(0, 100)),
-        "gold differs": F.col("y_star") != gold_answer(seen),
+        "gold differs": F.col("y_star") != _recomputed_gold(specs, seen),
     }
     errors = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks.items()]))
     return specs.select("item_id", F.explode(errors).alias("error"))
@@ -148,9 +186,9 @@ def manifest(views: DataFrame) -> DataFrame:
 
 
 def export_rows(views: DataFrame, specs: DataFrame, split: str = "test") -> DataFrame:
-    """Public rows: each view with its item's gold; an item without a spec is an error."""
+    """Public rows: each view with its item's gold; an item without a spec is an error, whatever columns are asked for."""
     own = specs.select("item_id", F.col("y_star").alias("y_star_evidence"), F.lit(True).alias("_known"))
-    got = views.drop("y_star").join(own, "item_id", "left").withColumn("y_star_evidence", F.when(F.col("_known"), F.col("y_star_evidence")).otherwise(F.raise_error(F.concat(F.lit("no spec for "), "item_id")).cast("int")))
+    got = views.drop("y_star").join(own, "item_id", "left").where(require(F.col("_known"), F.concat(F.lit("no spec for "), "item_id")))
     polarity = F.when(F.col("condition").startswith("control"), None).otherwise(F.substring_index("condition", "_", -1))
     return got.select("item_id", "condition", "relevance", polarity.alias("anchor_polarity"), "anchor_value", "offset", "difficulty", "domain", "prompt_text", "y_star_evidence", F.lit(split).alias("split"))
 

@@ -30,7 +30,7 @@ def unified_aggregates(baseline: str = CONTROL) -> list[Column]:
         F.avg(error).alias("mae"),
         F.avg((error <= 10).cast("double")).alias("acc10"),
     ]
-    out += [F.avg(f"uai_{c}").alias(f"uai_{c}") for c in CORE_ANCHORED]
+    out += [F.avg(f"{p}_{c}").alias(f"{p}_{c}") for p in ("uai", "tar") for c in CORE_ANCHORED]
     for name, group in (("irr", IRR), ("plaus", PLS)):
         out.append(pooled("uai", group).alias(f"uai_{name}"))
         out.append(sum((F.count(f"uai_{c}") for c in group), F.lit(0)).alias(f"n_uai_{name}"))
@@ -45,19 +45,30 @@ def unified_metrics(records: DataFrame, cell: Sequence[str], baseline: str = CON
 
 
 def metrics_by(records: DataFrame, cell: Sequence[str], by: str, baseline: str = CONTROL, epsilon: float = EPSILON) -> DataFrame:
-    """Base metrics per cell and ``by`` (offset, difficulty, ...); rows without a value of it are left out."""
+    """Base metrics per cell and ``by``; rows without a value of it are left out (``by_difficulty`` names them instead)."""
     return unified_metrics(records.where(F.col(by).isNotNull()), [*cell, by], baseline, epsilon)
 
 
+def by_difficulty(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON) -> DataFrame:
+    """Base metrics per cell and difficulty; rows without one are ``unknown``."""
+    return unified_metrics(records.withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown"))), [*cell, "difficulty"], baseline, epsilon)
+
+
 def metrics_grouping_sets(records: DataFrame, cell: Sequence[str], by: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON) -> DataFrame:
-    """Totals and one-level breakdowns together; ``level`` names the breakdown, so null keys are not mistaken for totals."""
+    """Totals and one-level breakdowns together; ``level`` names the breakdown, so null keys are not mistaken for totals.
+
+    As in the single breakdowns, rows without a difficulty are ``unknown`` and groups without another key are left out.
+    """
+    if "difficulty" in by:
+        records = records.withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown")))
     items = effects(item_table(records, [*cell, *by]), baseline, epsilon=epsilon)
     keys = [F.col(c) for c in cell]
     sets = [keys, *[[*keys, F.col(b)] for b in by]]
     got = items.groupingSets(sets, *keys, *[F.col(b) for b in by]).agg(F.grouping_id().alias("gid"), *unified_aggregates(baseline))
     bits = {(1 << len(by)) - 1: "total"} | {((1 << len(by)) - 1) ^ (1 << (len(by) - 1 - i)): b for i, b in enumerate(by)}
     level = F.create_map(*[F.lit(x) for k, v in bits.items() for x in (k, v)])
-    return got.withColumn("level", level[F.col("gid").cast("int")]).drop("gid")
+    got = got.withColumn("level", level[F.col("gid").cast("int")]).drop("gid")
+    return got.where((F.col("level") == "total") | F.create_map(*[x for b in by for x in (F.lit(b), F.col(b).isNotNull())])[F.col("level")])
 
 
 def parse_rates(records: DataFrame, cell: Sequence[str]) -> DataFrame:

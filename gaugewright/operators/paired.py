@@ -10,9 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.influence import item_uai, toward_anchor
 from ..schemas import CONTROL, CORE_ANCHORED, EPSILON, TWO_STAGE
+from ..sources.files import require
 
 
 def last_wins(records: DataFrame, cell: Sequence[str], keep: Sequence[str] = ("answer", "anchor", "gold")) -> DataFrame:
@@ -53,10 +55,15 @@ def long_effects(items: DataFrame, cell: Sequence[str], baseline: str = CONTROL,
     return rows.withColumn("uai", item_uai(F.col("answer"), F.col("control"), F.col("anchor"), epsilon)).withColumn("tar", toward_anchor(F.col("answer"), F.col("control"), F.col("anchor")))
 
 
-def baseline_choice(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL) -> DataFrame:
-    """Per cell the baseline condition: ``prefer`` if it occurs, else the other control if that does, else ``prefer``."""
+def baseline_choice(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL, strict: bool = False) -> DataFrame:
+    """Per cell the baseline condition: ``prefer`` if it occurs, else the other control if that does, else ``prefer``.
+
+    ``strict``: a cell that has neither is an error.
+    """
     other = TWO_STAGE if prefer == CONTROL else CONTROL
     seen = records.groupBy(*cell).agg(F.bool_or(F.col("condition") == prefer).alias("p"), F.bool_or(F.col("condition") == other).alias("o"))
+    if strict:
+        seen = seen.where(require(F.col("p") | F.col("o"), F.concat(F.lit("no baseline in "), F.to_json(F.struct(*cell)))))
     return seen.select(*cell, F.when(F.col("p"), prefer).when(F.col("o"), other).otherwise(prefer).alias("baseline"))
 
 
@@ -66,6 +73,37 @@ def complete_items(views: DataFrame, required: Sequence[str], cell: Sequence[str
     return kept.where(F.size("c") == len(set(required))).select(*cell, "item", F.size("c").alias("n_conditions"))
 
 
+def prepare_items(views: DataFrame, specs: DataFrame, required: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """One row per item that has every required condition: ``attributes`` of its alphabetically first one, and the spec in ``spec``.
+
+    Items that lack a condition are left out (``complete_items`` counts the rest). A complete item without a spec is an error.
+    """
+    kept = views.where(F.col("condition").isin(*required)).groupBy("item_id").agg(F.count_distinct("condition").alias("_n"), F.min_by(F.struct(*attributes), "condition").alias("_a"))
+    own = specs.select("item_id", F.struct(*[c for c in specs.columns if c != "item_id"]).alias("spec"), F.lit(True).alias("_known"))
+    got = kept.where(F.col("_n") == len(set(required))).join(own, "item_id", "left")
+    return got.where(require(F.col("_known"), F.concat(F.lit("no spec for "), "item_id"))).select("item_id", "_a.*", "spec")
+
+
+def with_baseline(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL, strict: bool = False) -> DataFrame:
+    """Records whose ``condition`` says ``control`` where it is their cell's baseline (``baseline`` keeps its name).
+
+    The other control keeps its place as ``control_twostage`` if it was chosen against, so metrics over ``control`` are
+    metrics over each cell's own baseline. ``strict``: a cell without either control is an error.
+    """
+    chosen = baseline_choice(records, cell, prefer, strict)
+    rows = records.join(F.broadcast(chosen) if _few_cells(chosen) else chosen, list(cell))
+    name = F.when(F.col("condition") == F.col("baseline"), CONTROL).when((F.col("condition") == CONTROL) & (F.col("baseline") != CONTROL), TWO_STAGE).otherwise(F.col("condition"))
+    return rows.withColumn("condition", name)
+
+
+#: Cells whose baselines may be broadcast.
+BROADCAST_CELLS = 100_000
+
+
+def _few_cells(cells: DataFrame) -> bool:
+    return cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+
+
 def tasks(items: DataFrame, conditions: DataFrame) -> DataFrame:
     """Every item under every condition; the conditions are a dimension of a few rows."""
     return items.crossJoin(F.broadcast(conditions))
@@ -76,6 +114,33 @@ def open_tasks(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def seeded_items(items: DataFrame, n: int, seed: int = 42, key: str = "item") -> DataFrame:
+    """``n`` items in a seeded random order (``ord`` from 0): the same ones for every run, partitioning and engine restart."""
+    draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    head = items.select(key).distinct().withColumn("_u", draw).orderBy("_u").limit(n)
+    return head.select(key, (F.row_number().over(W.orderBy("_u")) - 1).alias("ord"))
+
+
+def split_ablations(views: DataFrame, core: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Views of core conditions, and of all others."""
+    is_core = F.col("condition").isin(*core)
+    return views.where(is_core), views.where(~is_core)
+
+
+def by_visible_count(records: DataFrame) -> DataFrame:
+    """Rows ``uncertain_p<k>_<condition>`` as (k, condition); others go."""
+    found = F.regexp_extract("condition", r"^uncertain_p(\d+)_(.+)$", 1)
+    return records.where(found != "").withColumn("k", found.cast("int")).withColumn("condition", F.regexp_extract("condition", r"^uncertain_p(\d+)_(.+)$", 2))
+
+
+def realism_of(condition: Column, variants: Sequence[str]) -> Column:
+    """``baseline`` for a bare ``_low`` or ``_high``, else the first of ``variants`` that ends the name, else null."""
+    out = F.when(condition.rlike("^(plausible|irrelevant)_(low|high)$"), "baseline")
+    for v in variants:
+        out = out.when(condition.endswith(f"_{v}"), v)
+    return out
+
+
 def splice(core: DataFrame, new: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """Core records of the kept conditions, then new ones: ``part`` 0 and 1 go before ``pos``."""
     core = core if keep is None else core.where(F.col("condition").isin(*keep))

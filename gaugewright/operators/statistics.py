@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BOOT, SEED, ALPHA = 2000, 42, 0.05
-#: Values of a vector whose exact bootstrap one task holds; longer vectors take the weighted form, which never gathers them.
-EXACT_VALUES = 100_000
+#: Cells whose replicate sums one task holds before it passes them on.
+HELD_CELLS = 500
 #: Groups of untied differences up to this size get exact signed-rank probabilities.
 EXACT_RANKS = 50
 
@@ -28,33 +28,108 @@ def bootstrap_interval(values: np.ndarray, n_boot: int = BOOT, seed: int = SEED,
     return float(values.mean()), float(low), float(high)
 
 
-def bootstrap_ci(df: DataFrame, cell: Sequence[str], value: str, order: Sequence[str], n_boot: int = BOOT, seed: int = SEED, alpha: float = ALPHA, exact_values: int = EXACT_VALUES) -> DataFrame:
+def poisson_sums(df: DataFrame, cell: Sequence[str], moments: Sequence[str], order: Sequence[str], n_boot: int = BOOT, seed: int = SEED) -> DataFrame:
+    """(cell, b, w, moments): sums of Poisson(1) weights and weighted columns for each replicate ``b``.
+
+    A row's weights come from a hash of seed, replicate and order columns. Each task folds its rows into one row of sums
+    per cell and replicate before the shuffle, so no row is repeated and no cell is gathered.
+    """
+    rows = df.select(*[F.col(f"`{c}`") for c in cell], F.xxhash64(F.lit(seed), *order).alias("_h"), *[F.col(m).cast("double").alias(m) for m in moments])
+    fields = list(rows.select(*cell).schema.fields)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "b int", "w double", *(f"`{m}` double" for m in moments)])
+    # inverse Poisson(1): how many thresholds of its distribution a uniform number passes
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+    replicate = np.arange(n_boot, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        x = h.view(np.uint64)[:, None] ^ replicate
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)).astype(float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            made = [pd.DataFrame({**dict(zip(cell, key)), "b": np.arange(n_boot), "w": s[0], **dict(zip(moments, s[1:]))}) for key, s in sums.items()]
+            return pd.concat(made) if made else pd.DataFrame(columns=[*cell, "b", "w", *moments])
+
+        for pdf in frames:
+            keys = pdf[list(cell)].astype(object).where(pdf[list(cell)].notna(), None)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys.itertuples(index=False, name=None)):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                at = np.array(at)
+                held = sums.setdefault(key, np.zeros((1 + len(moments), n_boot)))
+                for part in np.array_split(at, -(-at.size // 1000)):
+                    w = weights(pdf["_h"].to_numpy()[part])
+                    held[0] += w.sum(0)
+                    held[1:] += pdf[list(moments)].to_numpy(float)[part].T @ w
+            if len(sums) > HELD_CELLS:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    partial = rows.mapInPandas(run, schema)
+    return partial.groupBy(*cell, "b").agg(F.sum("w").alias("w"), *[F.sum(m).alias(m) for m in moments])
+
+
+def _per_cell(df: DataFrame, cell: Sequence[str], order: Sequence[str], values: Sequence[str], names: Sequence[str], run) -> DataFrame:
+    """One row per cell of what ``run`` makes of its values in order; a cell's values are held by one task."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cell).schema.fields), "n long", *(f"{n} double" for n in names)])
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        return pd.DataFrame([[*pdf.iloc[0][list(cell)], len(pdf), *run(*[pdf[v].to_numpy(float) for v in values])]], columns=[*cell, "n", *names])
+
+    return df.groupBy(*cell).applyInPandas(each, schema)
+
+
+def bootstrap_ci(df: DataFrame, cell: Sequence[str], value: str, order: Sequence[str], n_boot: int = BOOT, seed: int = SEED, alpha: float = ALPHA, method: str = "exact") -> DataFrame:
     """(cell, n, mean, lo, hi) per cell over non-null values in the given order.
 
-    Cells of up to ``exact_values`` values are resampled exactly, a cell to a task. Larger ones are resampled by Poisson
-    weights drawn from a hash of seed, replicate and order, 50 replicates to a pass over the rows: partial sums only.
+    ``exact`` resamples each cell's vector as a whole in one task: for cells of up to some millions of values. ``poisson``
+    weighs rows by Poisson numbers instead, whatever a cell's size; its limits differ from the exact ones by chance.
     """
     rows = df.where(F.col(value).isNotNull()).select(*cell, *order, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cell).schema) + ", n long, mean double, lo double, hi double"
+    if method == "exact":
+        return _per_cell(rows, cell, order, ["_v"], ["mean", "lo", "hi"], lambda v: bootstrap_interval(v, n_boot, seed, alpha))
+    if method != "poisson":
+        raise ValueError(f"unknown method {method}")
+    means = poisson_sums(rows, cell, ["_v"], order, n_boot, seed).select(*cell, (F.col("_v") / F.col("w")).alias("_m"))
+    ends = means.groupBy(*cell).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
+    return rows.groupBy(*cell).agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).join(ends, list(cell))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        got = bootstrap_interval(pdf["_v"].to_numpy(float), n_boot, seed, alpha)
-        return pd.DataFrame([[*pdf.iloc[0][list(cell)], len(pdf), *got]], columns=[*cell, "n", "mean", "lo", "hi"])
 
-    sized = rows.join(sizes, list(cell))
-    exact = sized.where(F.col("_n") <= exact_values).drop("_n").groupBy(*cell).applyInPandas(run, schema)
-    large = sized.where(F.col("_n") > exact_values)
-    # inverse Poisson(1): how many thresholds of its distribution a uniform number passes
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
-    draws = large.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", *order), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    draws = draws.withColumn("_w", sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0)))
-    means = draws.groupBy(*cell, "_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
-    ends = means.groupBy(*cell).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
-    summary = large.groupBy(*cell).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
-    return exact.unionByName(summary.join(ends, list(cell)))
+def pearson_interval(x: np.ndarray, y: np.ndarray, n_boot: int = BOOT, seed: int = SEED, alpha: float = ALPHA) -> tuple[float, float, float]:
+    """(r, low, high) of resampled pairs; NaNs for fewer than 2 pairs or without spread. Resamples without spread don't count."""
+    if x.size < 2 or not x.std() or not y.std():
+        return math.nan, math.nan, math.nan
+    rng = np.random.RandomState(seed)
+    found = []
+    for _ in range(n_boot):
+        at = rng.randint(0, x.size, x.size)
+        if x[at].std() and y[at].std():
+            found.append(np.corrcoef(x[at], y[at])[0, 1])
+    low, high = np.percentile(found, [100 * alpha / 2, 100 * (1 - alpha / 2)]) if found else (math.nan, math.nan)
+    return float(np.corrcoef(x, y)[0, 1]), float(low), float(high)
+
+
+def pearson_ci(df: DataFrame, cell: Sequence[str], x: str, y: str, order: Sequence[str], n_boot: int = BOOT, seed: int = SEED, alpha: float = ALPHA, method: str = "exact") -> DataFrame:
+    """(cell, n, r, lo, hi): correlation of the non-null pairs of each cell with its bootstrap limits; methods as ``bootstrap_ci``."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*cell, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    if method == "exact":
+        return _per_cell(rows, cell, order, ["_x", "_y"], ["r", "lo", "hi"], lambda a, b: pearson_interval(a, b, n_boot, seed, alpha))
+    if method != "poisson":
+        raise ValueError(f"unknown method {method}")
+    rows = rows.withColumns({"_xx": F.col("_x") * F.col("_x"), "_yy": F.col("_y") * F.col("_y"), "_xy": F.col("_x") * F.col("_y")})
+    s = poisson_sums(rows, cell, ["_x", "_y", "_xx", "_yy", "_xy"], order, n_boot, seed)
+    w, spread = F.col("w"), lambda c: F.col(f"_{c}{c}") * F.col("w") - F.col(f"_{c}") * F.col(f"_{c}")
+    r = F.try_divide(F.col("_xy") * w - F.col("_x") * F.col("_y"), F.sqrt(spread("x") * spread("y")))
+    ends = s.select(*cell, r.alias("_r")).groupBy(*cell).agg(F.percentile("_r", alpha / 2).alias("lo"), F.percentile("_r", 1 - alpha / 2).alias("hi"))
+    return rows.groupBy(*cell).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("r")).join(ends, list(cell))
 
 
 def signed_ranks(df: DataFrame, cell: Sequence[str], difference: str) -> DataFrame:
@@ -119,7 +194,7 @@ def cohens_d(df: DataFrame, cell: Sequence[str], a: str, b: str, least: int = 5)
     return got.select(*cell, "n", "mean_diff", F.when(enough, F.col("mean_diff") / F.col("_sd")).alias("d_z"), F.when(enough & (both > 0), F.col("mean_diff") / both).alias("d_av"))
 
 
-def pooled_d(effects: DataFrame, cell: Sequence[str], d: str = "d_z") -> DataFrame:
-    """Mean of the sizes of effects, weighted by pairs, and the signed mean."""
-    e = effects.where(F.col(d).isNotNull())
-    return e.groupBy(*cell).agg((F.sum(F.abs(d) * F.col("n")) / F.sum("n")).alias("abs_d"), (F.sum(F.col(d) * F.col("n")) / F.sum("n")).alias("signed_d"), F.sum("n").alias("n"))
+def pooled_d(effects: DataFrame, cell: Sequence[str], d: str = "d_z", digits: int | None = None) -> DataFrame:
+    """Mean of the sizes of effects, weighted by pairs, and the signed mean; ``digits`` rounds the effects first."""
+    e = effects.where(F.col(d).isNotNull()).withColumn("_d", F.col(d) if digits is None else F.round(d, digits))
+    return e.groupBy(*cell).agg((F.sum(F.abs("_d") * F.col("n")) / F.sum("n")).alias("abs_d"), (F.sum(F.col("_d") * F.col("n")) / F.sum("n")).alias("signed_d"), F.sum("n").alias("n"))

@@ -111,7 +111,7 @@ def _sets() -> str:
     cols = ["n_records", "n_items", *BASE]
     body = ", ".join(f"{AGG[c]} AS {c}" for c in cols)
     total = f"SELECT 'total' AS level, suite, model, CAST(NULL AS INTEGER) AS \"offset\", CAST(NULL AS VARCHAR) AS difficulty, {body} FROM it GROUP BY suite, model"
-    off = f"SELECT 'offset' AS level, suite, model, \"offset\", NULL AS difficulty, {body} FROM it GROUP BY suite, model, \"offset\""
+    off = f"SELECT 'offset' AS level, suite, model, \"offset\", NULL AS difficulty, {body} FROM it WHERE \"offset\" IS NOT NULL GROUP BY suite, model, \"offset\""
     dif = f"SELECT 'difficulty' AS level, suite, model, NULL AS \"offset\", difficulty, {body} FROM it GROUP BY suite, model, difficulty"
     return _with(f"{total} UNION ALL {off} UNION ALL {dif}")
 

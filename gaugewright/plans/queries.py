@@ -144,12 +144,9 @@ def gold_shift_strata(spark, sf):
 
 def _effect_sizes(spark, sf):
     items = _items(spark, sf)
-    rows = items.select(*CELL, F.col("control.answer").alias("y"), *[F.col(f"{c}.answer").alias(c) for c in CORE_ANCHORED])
-    out = None
-    for c in CORE_ANCHORED:
-        one = statistics.cohens_d(rows, CELL, c, "y").withColumn("condition", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"{c}.answer").alias("a")) for c in CORE_ANCHORED])).alias("r")
+    rows = items.select(*CELL, F.col("control.answer").alias("y"), each).select(*CELL, "y", "r.*")
+    return statistics.cohens_d(rows, [*CELL, "condition"], "a", "y")
 
 
 @query
@@ -166,9 +163,7 @@ def cohens_d_pooled(spark, sf):
 def strategy_deltas(spark, sf):
     """Difficulty stands for the strategy, ``easy`` for the baseline."""
     cells = metrics.metrics_by(adapters.records(spark, sf), CELL, "difficulty")
-    got = analysis.deltas(cells, CELL, "difficulty", "easy", ["disc_delta", "mae"])
-    a, b = analysis.verdict(F.col("d_disc_delta"), F.col("d_mae"))
-    return r6(got.withColumns({"disc_verdict": a, "mae_verdict": b}))
+    return r6(analysis.strategy_effects(cells, CELL, "difficulty", "easy"))
 
 
 @query
@@ -275,7 +270,7 @@ def bh_adjust(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    return statistics.bootstrap_ci(_long(spark, sf), CELL, "uai", ["item", "condition"], n_boot=400)
+    return statistics.bootstrap_ci(_long(spark, sf), CELL, "uai", ["item", "condition"])
 
 
 @query

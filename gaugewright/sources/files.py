@@ -4,25 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RECORDS
+from ..schemas import ITEMSPECS, PROMPT_VIEWS, RECORDS
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """JSON lines with the given schema, the file of each row in ``source_path``; blank lines are skipped.
 
-    ``strict``: a malformed line is an error that names its file. Otherwise it is a row with ``_corrupt_record`` set.
+    ``strict``: a malformed line is an error that names its file, whatever columns are asked for (the check is a filter
+    over all columns, so column pruning can't drop it). Otherwise it is a row with ``_corrupt_record`` set.
     """
     df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path)
-    first = df.schema.fields[0]
+    read = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "_corrupt_record"]))
     df = df.withColumn("source_path", F.col("_metadata.file_path"))
     if not strict:
         return df
-    wrong = F.concat(F.lit("malformed line in "), F.col("source_path"), F.lit(": "), F.col("_corrupt_record"))
-    checked = F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(wrong).cast(first.dataType)).otherwise(F.col(first.name))
-    return df.withColumn(first.name, checked).drop("_corrupt_record")
+    wrong = F.concat(F.lit("malformed line in "), F.col("source_path"), F.lit(": "), F.col("_corrupt_record"), F.lit(" read as "), read)
+    return df.where(require(F.col("_corrupt_record").isNull(), wrong)).drop("_corrupt_record")
+
+
+def require(condition: Column, message: Column) -> Column:
+    """A filter that keeps every row and fails with the message at the first one that breaks the condition."""
+    return F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
+def read_itemspecs(spark: SparkSession, path: str | list[str], schema: str = ITEMSPECS) -> DataFrame:
+    """Item specs, the last line of each item; files go in the order of their names."""
+    return _last_lines(read_jsonl(spark, path, schema), ["item_id"])
+
+
+def read_prompt_views(spark: SparkSession, path: str | list[str], schema: str = PROMPT_VIEWS) -> DataFrame:
+    """Prompt views, the last line of each item and condition."""
+    return _last_lines(read_jsonl(spark, path, schema), ["item_id", "condition"])
+
+
+def _last_lines(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last row of each key in file order: readers number rows in order inside a split, and splits of a file by their start."""
+    place = F.struct(F.col("source_path"), F.col("_start"), F.col("_row"))
+    rows = df.withColumn("_start", F.input_file_block_start()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("r")).select(*keys, "r.*")
+
+
+def suite_file(names: Sequence[str], kind: str, full: bool = False) -> str:
+    """Of a dataset folder's file names that of ``kind`` to read: core files first, the full one when asked, either if the other is missing."""
+    wanted = [f"{kind}_core.jsonl", f"{kind}.jsonl"]
+    for name in reversed(wanted) if full else wanted:
+        if name in names:
+            return name
+    raise FileNotFoundError(f"no {kind} file among {sorted(names)}")
 
 
 def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
@@ -50,6 +82,50 @@ def read_summaries(spark: SparkSession, path: str | list[str], schema: str) -> D
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def read_optional_summaries(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Summaries with their file; a file that isn't JSON gives a row with ``broken`` true and null values, not an error."""
+    df = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path)
+    return df.withColumn("source_path", F.col("_metadata.file_path")).withColumn("broken", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+
+
+def panel(cells: DataFrame, summaries: DataFrame, keys: Sequence[str], at: Sequence[str] = ()) -> DataFrame:
+    """Every cell of a fixed panel with its summary, nulls where it has none; ``at`` names path parts, last first, that hold the keys."""
+    if at:
+        parts = F.split("source_path", "/")
+        summaries = summaries.withColumns({k: F.element_at(parts, -2 - i) for i, k in enumerate(at)})
+    return cells.join(summaries, list(keys), "left")
+
+
+def curves(summaries: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """Wide curve summaries (a mean and ``<level>_n`` for each level) as one row per key and level."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("double").alias("uai"), F.col(f"{c}_n").cast("long").alias("n")) for c in levels]))
+    return summaries.select(*keys, each.alias("_r")).select(*keys, "_r.*")
+
+
+def variants(summaries: DataFrame, keys: Sequence[str], variant: str, names: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """One row per key with the metrics of each variant side by side (``<variant>_<metric>``); absent ones are null."""
+    picks = [F.max(F.when(F.col(variant) == v, F.col(m))).alias(f"{v}_{m}") for v in names for m in metrics]
+    return summaries.groupBy(*keys).agg(*picks)
+
+
+def ordered_panel(spark: SparkSession, names: Sequence[str], key: str = "key") -> DataFrame:
+    """A registry's panel as a dimension with its authoritative order in ``ord``."""
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"{key} string, ord int")
+
+
+def merged_prices(live: DataFrame, stored: DataFrame, model: str = "model") -> DataFrame:
+    """Stored prices, replaced by live ones where those are above 0; models of either side stay."""
+    a = live.select(F.col(model), *[F.col(c).alias(f"_{c}") for c in ("price_in", "price_out")])
+    pick = lambda c: F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c))
+    return stored.join(a, model, "full").select(model, *[pick(c).alias(c) for c in ("price_in", "price_out")]).where("price_in is not null or price_out is not null")
+
+
+def write_summaries(cells: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """A JSON summary per cell in ``<path>/cells/<key>=<value>/...`` and one table of all cells in ``<path>/all``, written by tasks."""
+    cells.repartition(*keys).write.partitionBy(*keys).json(f"{path}/cells")
+    cells.coalesce(1).sortWithinPartitions(*keys).write.json(f"{path}/all")
+
+
 def prefer(rows: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
     """Of rows with equal keys that of the lowest rank (a full file before a core one, live prices before stored ones)."""
     rest = [c for c in rows.columns if c not in (*keys, rank)]
