@@ -133,7 +133,7 @@ c AS (
   UNION ALL SELECT 'tool_realism', r || '_' || d || v, true FROM rels, dirs, (VALUES ('_elicited'), ('_noisy')) t(v)
   UNION ALL SELECT 'uncertain', 'uncertain_p' || p || '_' || r || '_' || d, true FROM rels, dirs, range(1, 4) t(p)
   UNION ALL SELECT 'uncertain', 'uncertain_p' || p || '_control', false FROM range(1, 4) t(p))
-SELECT condition, CAST(180 AS BIGINT) AS n, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_anchored, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_marked, CAST(180 AS BIGINT) AS n_prompts, kind FROM c""",
+SELECT condition, CAST(180 AS BIGINT) AS n, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_anchored, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_marked, CAST(180 AS BIGINT) AS n_items, kind FROM c""",
     "rag_corpus": "SELECT doc_type, relevance, CAST(360 * k AS BIGINT) AS n, CAST(360 * k AS BIGINT) AS n_ids, CAST(CASE WHEN a THEN 360 * k ELSE 0 END AS BIGINT) AS n_anchored, CAST(360 * k AS BIGINT) AS n_texts FROM (VALUES ('core', 'none', 1, false), ('filler', 'none', 1, false), ('anchor_slot', 'none', 1, false), ('anchor_slot', 'irrelevant', 4, true), ('anchor_slot', 'plausible', 2, true), ('anchor_slot', 'authority', 2, true)) t(doc_type, relevance, k, a)",
     "tool_message_counts": "SELECT r || '_' || d || '_' || v AS condition, role, CAST(180 * k AS BIGINT) AS n, CAST(CASE WHEN role = 'assistant' THEN 360 ELSE 0 END AS BIGINT) AS n_calls, CAST(CASE WHEN role = 'assistant' AND v = 'noisy' THEN 0 ELSE 180 * k END AS BIGINT) AS n_contents FROM (VALUES ('plausible'), ('irrelevant')) a(r), (VALUES ('low'), ('high')) b(d), (VALUES ('elicited'), ('noisy')) c(v), (VALUES ('system', 1), ('user', 1), ('assistant', 2), ('tool', 2)) e(role, k)",
     "subset_of_five": f"""WITH {_EVID}, f AS (SELECT item, every_one[1:5] AS v FROM ev WHERE len(every_one) >= 5),

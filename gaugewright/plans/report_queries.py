@@ -309,7 +309,7 @@ def variant_views(spark, sf):
     out = None
     for kind, (suite, _) in suites.VARIANTS.items():
         v = suites.suite_views(suites.suite_specs(spark, suite, "pilot"), kind)
-        one = v.groupBy("condition").agg(F.count("*").alias("n"), F.count("anchor_value").alias("n_anchored"), F.count("anchor_start").alias("n_marked"), F.count_distinct("prompt_hash").alias("n_prompts")).withColumn("kind", F.lit(kind))
+        one = v.groupBy("condition").agg(F.count("*").alias("n"), F.count("anchor_value").alias("n_anchored"), F.count("anchor_start").alias("n_marked"), F.count_distinct("item_id").alias("n_items")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
