@@ -7,15 +7,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points per chunk that the array operators hold in memory at once (one longer text is a chunk by itself).
 CHUNK_CHARS = 1_500_000
+#: Words of 64 bits of the table of keys that spares other rows a shuffle; it is broadcast, whatever the input's size.
+FILTER_WORDS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one set where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Local sessions (tests) get a temporary one where it is unset; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='gaugewright-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -35,13 +40,6 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,3 +64,17 @@ def chunks(values: list, sizes: list[int], limit: int = CHUNK_CHARS):
         total += n
     if start < len(values):
         yield start, len(values)
+
+
+def flagged(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add ``maybe``: false only for rows whose long ``key`` is not among ``keys``. By a bitmap of FILTER_WORDS rows at most, without a shuffle of ``df``."""
+    h = F.xxhash64(key)
+    word, bit = F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return df.join(F.broadcast(bits), word == F.col("word"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``keys``; only those that the bitmap can't clear are shuffled."""
+    rows = flagged(df, keys, key)
+    return rows.where("not maybe").drop("maybe").unionByName(rows.where("maybe").drop("maybe").join(keys, key, "left_anti"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import IntTable
-from .common import chunks, materialize, table
+from .common import chunks, flagged, materialize, table
 
 ORDER = 5
 #: Context before a text's first byte.
@@ -51,8 +51,8 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def gram_counts(df: DataFrame, text: str = "text", target: str = "target", fold: str = "fold") -> DataFrame:
-    """(gram, t0, t1, b0, b1): counts in target and all texts of each fold. Tasks count their texts before the shuffle."""
+def gram_counts(background: DataFrame, target: DataFrame) -> DataFrame:
+    """(gram, t0, t1, b0, b1): counts in target and all texts of each fold, of rows (text, fold). Tasks count their texts before the shuffle."""
     schema = "gram long, t0 long, t1 long, b0 long, b1 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +63,11 @@ def gram_counts(df: DataFrame, text: str = "text", target: str = "target", fold:
 
         for batch in batches:
             texts = _binary(batch.column(0))
-            target_, fold_ = np.array(batch.column(1).to_pylist(), bool), np.array(batch.column(2).to_pylist(), np.int64)
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in chunks(texts, list(map(len, texts)), _CHUNK_BYTES):
                 gram, sizes = grams_of(texts[a:b])
                 place, found = _factorize(gram)
-                kind = np.repeat(fold_[a:b] * 2 + target_[a:b], sizes)
-                new = np.bincount(place * 4 + kind, minlength=4 * found.size).reshape(-1, 4)
-                by_kind = np.stack([new[:, 1], new[:, 3], new[:, 0] + new[:, 1], new[:, 2] + new[:, 3]], 1)
+                by_kind = np.bincount(place * 4 + np.repeat(kinds[a:b], sizes), minlength=4 * found.size).reshape(-1, 4)
                 place, keys_ = _factorize(np.concatenate([keys, found]))
                 both = np.zeros((keys_.size, 4), np.int64)
                 both[place[: keys.size]] = counts
@@ -81,7 +79,9 @@ def gram_counts(df: DataFrame, text: str = "text", target: str = "target", fold:
         if keys.size:
             yield out()
 
-    partial = df.select(F.col(text), F.col(target), F.col(fold)).mapInArrow(run, schema)
+    # the place of each row's counts among COUNTS
+    rows = target.select("text", F.col("fold").cast("long").alias("kind")).unionByName(background.select("text", (F.col("fold") + 2).cast("long").alias("kind")))
+    partial = rows.mapInArrow(run, schema)
     return partial.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -230,25 +230,27 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[a]), a, b
 
 
-def cross_entropy_difference(df: DataFrame, target: Column, doc_id: str = "doc_id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def cross_entropy_difference(df: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Add n_tokens (bytes), ce_target, ce_background and score (nats per token) to ``df`` without its text.
 
-    ``target`` says which rows make up the target; null is no. Null and empty texts have no tokens and null scores. Without
-    any target text both models are uniform and scores are 0. Rows that repeat are counted as often as they occur; rows
-    without an id are in one fold. Columns of the new names are replaced, all other names are free. ``df`` is evaluated
-    once. ``broadcast_grams`` picks how losses reach the texts; scores are the same bit for bit.
+    ``target`` holds those rows of ``df`` that make up the target (id and text are read). Null and empty texts have no
+    tokens and null scores. Without any target text both models are uniform and scores are 0. Rows that repeat are counted
+    as often as they occur; rows without an id are in one fold; an empty table gives none. Columns of the new names are
+    replaced, all other names are free. ``df`` is read twice, once to count and once to score, and its texts are neither
+    shuffled nor written. ``broadcast_grams`` picks how losses reach the texts; scores are the same bit for bit.
     """
-    keep = [c for c in df.columns if c not in ADDED and c != text]
-    fold = F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 2, F.lit(0))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), fold.alias("fold"))
-    rows = materialize(rows, "lm-rows", compression="zstd")
-    losses = gram_losses(materialize(gram_counts(rows, "text", "target"), "lm-counts"))
+    fold = F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 2, F.lit(0)).alias("fold")
+    own = F.col(f"`{text}`").alias("text")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ADDED and c != text]).alias("doc"), own, fold)
+    losses = gram_losses(materialize(gram_counts(rows, target.select(own, fold)), "lm-counts"))
     score = _score_by_broadcast if losses.count() <= broadcast_grams else _score_by_slices
-    return score(rows.drop("target"), losses).select("doc.*", *ADDED)
+    return score(rows, losses).select("doc.*", *ADDED)
 
 
 def op1_ce_difference(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents against those labelled good and not toxic."""
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return cross_entropy_difference(docs, F.col("good")).drop("good")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # only texts that may be the target's meet the labels, in the same way at every size
+    target = flagged(docs, good, "doc_id").where("maybe").drop("maybe").join(good.hint("merge"), "doc_id")
+    return cross_entropy_difference(docs, target)

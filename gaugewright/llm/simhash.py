@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import chunks, materialize, table
+from .common import chunks, flagged, materialize, table, without
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -33,8 +33,6 @@ NEAR_WORDS = 5
 NEAR_PART, NEAR_WHOLE = 4, 5
 #: Bits of the bitmap of each shingle set, as so many longs of 64 bits.
 SKETCH_LONGS = 8
-#: Words of 64 bits of the table of keys that spares other rows a shuffle; it is broadcast, whatever the input's size.
-FILTER_WORDS = 1 << 18
 #: Shingles in more than COMMON_COUNT of one text in COMMON_SAMPLE come last in the order of shingles, COMMON_MOST of them at
 #: most. Any order gives the same links; this one keeps texts that only share a common passage out of each other's buckets.
 COMMON_SAMPLE, COMMON_COUNT, COMMON_MOST = 16, 4, 100_000
@@ -228,20 +226,6 @@ def common_shingles(df: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array(found.select("shingle").toPandas()["shingle"], np.int64))
 
 
-def _flagged(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Add ``maybe``: false only for rows whose long ``key`` is not among ``keys``. By a bitmap of FILTER_WORDS rows at most, without a shuffle of ``df``."""
-    h = F.xxhash64(key)
-    word, bit = F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
-    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return df.join(F.broadcast(bits), word == F.col("word"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
-
-
-def _without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``keys``; only those that the bitmap can't clear are shuffled."""
-    rows = _flagged(df, keys, key)
-    return rows.where("not maybe").drop("maybe").unionByName(rows.where("maybe").drop("maybe").join(keys, key, "left_anti"))
-
-
 def _apart(a: str, b: str) -> Column:
     """Hamming distance of two bitmaps."""
     return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
@@ -261,7 +245,7 @@ def _may_be_near(a: str, b: str) -> Column:
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are near, by their whole texts; ``texts`` has a row (fp, text) for each distinct set."""
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-ends")
-    few = _flagged(texts, ends, "fp").where("maybe").drop("maybe").join(ends, "fp")
+    few = flagged(texts, ends, "fp").where("maybe").drop("maybe").join(ends, "fp")
     few = materialize(few, "near-texts", compression="zstd")
     both = pairs.join(few.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(few.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
 
@@ -346,9 +330,9 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
     first = materialize(marked.groupBy("fp").agg(F.min(place).alias("first")), "near-first")
     copies = materialize(marked.select("row").join(first.select("first.row"), "row", "left_anti"), "near-copies")
-    sets = _without(marked.select("row", "fp", "n", "simhash", "sketch", "prefix"), copies, "row").drop("row")
-    texts = _without(marked.select("row", "fp", F.col("doc").getField(text).alias("text")), copies, "row").drop("row")
+    sets = without(marked.select("row", "fp", "n", "simhash", "sketch", "prefix"), copies, "row").drop("row")
+    texts = without(marked.select("row", "fp", F.col("doc").getField(text).alias("text")), copies, "row").drop("row")
     groups = materialize(near_groups(sets, texts), "near-groups").withColumnRenamed("node", "fp")
     low = groups.join(first, "fp").groupBy("root").agg(F.min("first").alias("low"))
     gone = groups.join(low, "root").join(first, "fp").where("first.row != low.row").select("first.row")
-    return _without(marked.select("row", "doc"), materialize(copies.unionByName(gone), "near-gone"), "row").select("doc.*")
+    return without(marked.select("row", "doc"), materialize(copies.unionByName(gone), "near-gone"), "row").select("doc.*")

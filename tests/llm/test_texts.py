@@ -268,9 +268,9 @@ def test_lm_scores(spark, monkeypatch):
     texts = ["good words here", "good words there", "bad stuff now", "", None, "good bad", "good words here", "a long one " * 300]
     rows = [(i, t, i in (0, 1, 5), "own", i, "own") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean, score string, fold int, doc string")
-    a = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, F.col("good")).collect()}
+    a = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, df.where("good")).collect()}
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 30)
-    b = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, F.col("good"), broadcast_grams=0).collect()}
+    b = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, df.where("good"), broadcast_grams=0).collect()}
     assert a == b and all(r["fold"] == i and r["doc"] == "own" for i, r in a.items())
     import zlib
 
