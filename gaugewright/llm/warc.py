@@ -1,9 +1,9 @@
 """WARC archives: writing captures, reading records back, and assembling transactions.
 
-Each capture is a request, a response (or a revisit of an earlier equal payload) and a metadata record; request and
-metadata name the response in WARC-Concurrent-To. Archives are written by Spark's text sink, one record a row and the
-record terminator as line separator, and read through its binary source, so any file system that Spark knows will do.
-Each written file is one gzip stream of a bounded number of records.
+Each capture is a request, a response (or a revisit, which names the response of the equal payload in WARC-Refers-To) and
+a metadata record; request and metadata name the response in WARC-Concurrent-To. Archives are written by Spark's text sink,
+one record a row and the record terminator as line separator, and read once through its binary source, so any file system
+that Spark knows will do. Each written file is one gzip stream of a bounded number of records.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _BATCH_BYTES = 8_000_000
 
 RECORD_SCHEMA = (
     "record_type string, record_id string, concurrent_to string, target_uri string, date string, content_type string, "
-    "payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>, block binary"
+    "payload_digest string, payload_bytes long, computed_digest string, refers_to string, fields map<string,string>, block binary"
 )
 
 
@@ -59,15 +59,15 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     responses too, and payloads that only rows without an id have are all responses. A null URL is empty and line breaks
     in it are percent-encoded. Only digests are aggregated; payloads are not shuffled unless very many repeat.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    repeats = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page").alias("keeper"), F.count("*").alias("n"))
-    repeats = materialize(repeats.where("n > 1").select("digest", "keeper"), "warc-repeats")
+    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload"), "capture": F.expr("uuid()")})
+    rows = materialize(rows, "warc-captures", compression="zstd")  # identifiers are drawn once
+    repeats = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page").alias("keeper"), F.max_by("capture", "page").alias("kept"), F.count("*").alias("n"))
+    repeats = materialize(repeats.where("n > 1").select("digest", "keeper", "kept"), "warc-repeats")
     small = repeats.count() <= BROADCAST_DIGESTS
     rows = rows.join(F.broadcast(repeats) if small else repeats, "digest", "left")
     revisit = F.coalesce(F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper")), F.lit(False)) & (F.col("size") >= min_revisit_bytes)
-    rows = rows.withColumn("revisit", revisit).withColumn("capture", F.expr("uuid()"))
+    rows = rows.withColumn("revisit", revisit)
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     own = F.concat(F.lit("<urn:uuid:"), F.col("capture"), F.lit(">"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"), F.lit(END * 2))
@@ -81,16 +81,14 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             ("WARC-Record-ID", own),
             ("WARC-Target-URI", uri),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            ("WARC-Refers-To", F.when(F.col("revisit"), F.concat(F.lit("<urn:uuid:"), F.col("kept"), F.lit(">")))),
             ("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ],
         "application/http;msgtype=response",
         F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("payload"))),
     )
     request = _record("request", side("request"), "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END * 2}")))
-    about = F.concat(
-        F.coalesce(F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit(END)), F.lit("")),
-        F.when(F.col("revisit"), F.concat(F.lit("refers-to-page: "), F.col("keeper").cast("string"), F.lit(END))).otherwise(""),
-    )
+    about = F.coalesce(F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit(END)), F.lit(""))
     metadata = _record("metadata", side("metadata"), "application/warc-fields", about)
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
     records.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -123,30 +121,31 @@ def parse_archive(data: bytes, types: set[str] | None = None) -> Iterator[dict]:
             continue
         digest = head.get("warc-payload-digest")
         digest = digest.removeprefix("sha1:") if digest else None
-        n, ok, fields = None, None, {}
+        n, computed, fields = None, None, {}
         if head.get("content-type", "").startswith("application/http"):
             http, _, payload = block.partition(b"\r\n\r\n")
             n = len(payload)
             if kind == "revisit":
                 n = next((int(m) for m in re.findall(rb"(?i)\ncontent-length: *(\d+)", http)), n)
-            elif kind == "response" and digest:
-                ok = base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
+            elif kind == "response":
+                computed = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             fields = {"start-line": http.split(b"\r\n", 1)[0].decode("utf-8", "replace")}
         elif head.get("content-type") == "application/warc-fields":
             fields = _headers(io.BytesIO(block))
         yield {
             "record_type": kind, "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"),
             "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "content_type": head.get("content-type"),
-            "payload_digest": digest, "payload_bytes": n, "digest_ok": ok, "fields": list(fields.items()), "block": block,
+            "payload_digest": digest, "payload_bytes": n, "computed_digest": computed, "refers_to": head.get("warc-refers-to"), "fields": list(fields.items()), "block": block,
         }
 
 
 def read_archives(spark: SparkSession, path: str, types: list[str] | None = None, blocks: bool = True) -> DataFrame:
     """Records of all archives under ``path`` (RECORD_SCHEMA): those of the given types, with their blocks or without."""
-    schema = pa.schema(
-        [(n, pa.string()) for n in ("record_type", "record_id", "concurrent_to", "target_uri", "date", "content_type", "payload_digest")]
-        + [("payload_bytes", pa.int64()), ("digest_ok", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
-    )
+    text = ("record_type", "record_id", "concurrent_to", "target_uri", "date", "content_type", "payload_digest")
+    schema = pa.schema([
+        *((n, pa.string()) for n in text), ("payload_bytes", pa.int64()), ("computed_digest", pa.string()), ("refers_to", pa.string()),
+        ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary()),
+    ])
     wanted = set(types) if types else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,36 +165,52 @@ def read_archives(spark: SparkSession, path: str, types: list[str] | None = None
     return files.select("content").mapInArrow(run, RECORD_SCHEMA)
 
 
-def assemble(responses: DataFrame, requests: DataFrame, metadata: DataFrame) -> DataFrame:
+def assemble(records: DataFrame) -> DataFrame:
     """One row per response or revisit record: (record_id, request, response, metadata), the partners nested or null.
 
-    Partners are the request and metadata records whose WARC-Concurrent-To names the response. Several partners of one
-    kind give several rows; records that name no response of the input give none. Null identifiers join nothing.
+    Partners are the request and metadata records whose WARC-Concurrent-To names the response; records join it under that
+    identifier in one shuffle. Of several records of one kind, or of one identifier, that with the smallest identifier (or
+    an arbitrary equal one) stays. Records that name no response of the input give no row; null identifiers join nothing.
     """
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("concurrent_to").alias("record_id"), F.struct(*df.columns).alias(name))
+    capture = F.coalesce("concurrent_to", "record_id")
+    member = F.struct(*records.columns)
 
-    out = responses.select("record_id", F.struct(*responses.columns).alias("response"))
-    return out.join(nested(requests, "request"), "record_id", "left").join(nested(metadata, "metadata"), "record_id", "left").select("record_id", "request", "response", "metadata")
+    def one(*kinds: str) -> Column:
+        return F.min_by(member, F.when(F.col("record_type").isin(*kinds), F.col("record_id")))
+
+    got = records.where(capture.isNotNull()).groupBy(capture.alias("record_id")).agg(*[one(*k).alias(n) for n, k in (("request", ("request",)), ("response", ("response", "revisit")), ("metadata", ("metadata",)))])
+    return got.where("response is not null")
 
 
 def read_transactions(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """The archives' captures, one nested row each."""
-    parts = [read_archives(spark, path, t, blocks) for t in (["response", "revisit"], ["request"], ["metadata"])]
-    return assemble(*parts)
+    """The archives' captures, one nested row each; archives are read once."""
+    return assemble(read_archives(spark, path, blocks=blocks))
+
+
+def resolve_revisits(captures: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``original``: a struct of ``keys`` of the capture that a row's ``refers_to`` names, null where it names none.
+
+    ``captures`` has columns record_id, refers_to and the keys, and is read several times: pass a written table. Only
+    captures that some revisit names are joined; there is one of them for each repeated payload, however often it repeats.
+    """
+    named = captures.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    named = materialize(captures.join(named, "record_id", "left_semi").select(F.col("record_id").alias("refers_to"), F.struct(*keys).alias("original")), "warc-originals")
+    return captures.join(F.broadcast(named) if named.count() <= BROADCAST_DIGESTS else named, "refers_to", "left")
 
 
 def op2_warc_transactions(spark, sf_dir: str) -> DataFrame:
+    """The pages' captures, read back; a revisit's payload is that of the response that it refers to. Digests are computed
+    from payloads read back, and one that differs from its record's header is an error."""
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    got = read_transactions(spark, path, blocks=False)
-    return got.select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        F.col("metadata.fields")["refers-to-page"].cast("long").alias("refers_to"),
-    )
+    got = read_transactions(spark, path, blocks=False).select(
+        "record_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        *[F.col(f"response.{c}").alias(c) for c in ("record_type", "payload_bytes", "payload_digest", "computed_digest", "refers_to")],
+    )
+    got = resolve_revisits(materialize(got, "warc-transactions"), ["page_id", "payload_bytes", "computed_digest"])
+    digest = F.coalesce("computed_digest", "original.computed_digest")
+    same = F.when(digest.eqNullSafe(F.col("payload_digest")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("wrong payload digest in "), "record_id")).cast("boolean"))
+    return got.where(same).select("page_id", F.coalesce("original.payload_bytes", "payload_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("original.page_id").alias("refers_to"))
 
 
 def _oracle() -> str:

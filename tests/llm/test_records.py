@@ -44,13 +44,22 @@ def test_warc_records(spark, sf, tmp_path):
     warc.write_archives(spark.read.parquet(f"{d}/pages.parquet"), path)
     rows = warc.read_transactions(spark, path).collect()
     assert all(r["request"] and r["metadata"] for r in rows)
-    assert all(r["response"]["digest_ok"] for r in rows if r["response"]["record_type"] == "response")
+    assert all(r["response"]["computed_digest"] == r["response"]["payload_digest"] for r in rows if r["response"]["record_type"] == "response")
+    named = {r["record_id"] for r in rows if r["response"]["record_type"] == "response"}
+    assert {r["response"]["refers_to"] for r in rows if r["response"]["record_type"] == "revisit"} <= named
     with pytest.raises(ValueError, match="ends after"):
         list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
     warc.write_archives(spark.read.parquet(f"{d}/none.parquet"), f"{path}-none")
     assert warc.read_transactions(spark, f"{path}-none").count() == 0
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "u", "same", 0), (1, "u", "same", 0), (2, "u", "same", 0), (2, "u", "same", 0), (None, "v", "same", 0), (None, "v", "alone", 0), (5, None, "alone", 0)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in queries.QUERIES["op2_warc_transactions"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None), (None, "revisit", 2), (None, "revisit", 5), (5, "response", None)], key=str)
+
+
 def test_chat(spark, sf):
     d, _, turns = sf
     got = {r["conv_id"]: r for r in queries.QUERIES["op9_chat_windows"](spark, d).collect()}
