@@ -30,10 +30,11 @@ TAIL = (
 )
 TAIL_CHARS = 520
 TOOL_CALL = r"(?i)^\s*\{[\"\s]*name[\"\s]*:"
-OPEN_ENDINGS = (
-    "of the a an to and or with that which when if as by for in on at from into would could should will can may might be "
-    "is are was were have has had do does did following using considering assuming average sum total where while however although because"
-).split()
+OPEN_ENDINGS = [
+    "of", "the", "a", "an", "to", "and", "or", "with", "that", "which", "when", "if", "as", "by", "for", "in", "on", "at", "from", "into", "would",
+    "could", "should", "will", "can", "may", "might", "be", "is", "are", "was", "were", "have", "has", "had", "do", "does", "did", "following",
+    "using", "considering", "assuming", "average", "sum", "total", "where", "while", "however", "although", "because",
+]
 ENDINGS = (".", "!", "?", ")", "]", "</answer>", '"')
 LEAST_CHARS = 100
 

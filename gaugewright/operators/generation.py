@@ -120,7 +120,7 @@ def render_views(specs: DataFrame, templates: DataFrame | None = None, condition
         rows = [(d, f"A team studies how customers rate {d}.", f"How would customers rate {d} overall?", f"A colleague recalls a rating of {{}} for {d}.", "The form carries the number {} in its corner.") for d in DOMAINS]
         templates = spark.createDataFrame(rows, "domain string, scenario string, question string, plausible string, irrelevant string")
     dims = spark.createDataFrame([(c, c.split("_")[0] if c != CONTROL else "none", c.split("_")[-1]) for c in conditions], "condition string, relevance string, direction string")
-    df = specs.join(F.broadcast(templates), "domain").crossJoin(F.broadcast(dims))
+    df = specs.join(templates, "domain").crossJoin(F.broadcast(dims))
     anchor = F.when(F.col("relevance") != "none", F.when(F.col("direction") == "low", F.col("anchor_low")).otherwise(F.col("anchor_high")))
     sentence = F.replace(F.when(F.col("relevance") == "plausible", F.col("plausible")).when(F.col("relevance") == "irrelevant", F.col("irrelevant")), F.lit("{}"), anchor.cast("string"))
     base = F.concat_ws("\n\n", "scenario", tx.evidence_lines(F.col("evidence")))

@@ -33,9 +33,25 @@ def generate(df: DataFrame, backend: Backend, prompt: str = "prompt_text", out:
     return df.drop(out).mapInPandas(run, schema)
 
 
-def parsed_records(df: DataFrame, raw: str = "raw_text", prompt: str = "prompt_text") -> DataFrame:
+#: Longer failed texts are shown to a fallback by their first and last characters only.
+FALLBACK_MOST, FALLBACK_HEAD, FALLBACK_TAIL = 1500, 200, 1200
+
+
+def parsed_records(df: DataFrame, raw: str = "raw_text", prompt: str = "prompt_text", fallback: Backend | None = None) -> DataFrame:
+    """Add answer_int, parsed_ok and parse_strategy by the cascade. ``fallback`` is asked for the number in texts that fail
+    it (of at least 2 characters); its first whole number counts if it is from 0 to 100, as ``llm_fallback``."""
     p = parse_response(F.col(raw), F.col(prompt))
-    return df.withColumn("_p", p).select("*", F.col("_p.answer").alias("answer_int"), F.col("_p.ok").alias("parsed_ok"), F.col("_p.strategy").alias("parse_strategy")).drop("_p")
+    got = df.withColumn("_p", p).select("*", F.col("_p.answer").alias("answer_int"), F.col("_p.ok").alias("parsed_ok"), F.col("_p.strategy").alias("parse_strategy")).drop("_p")
+    if fallback is None:
+        return got
+    text = F.trim(F.col(raw))
+    short = F.when(F.length(text) > FALLBACK_MOST, F.concat(F.substring(text, 1, FALLBACK_HEAD), F.lit("\n...\n"), F.right(text, F.lit(FALLBACK_TAIL)))).otherwise(text)
+    failed = F.coalesce((F.col("parse_strategy") == "failed") & (F.length(text) >= 2), F.lit(False))
+    asked = generate(got.where(failed).withColumn("_q", F.concat(F.lit("Which number from 0 to 100 does this text settle on? Reply with it, or NONE.\n\n"), short)), fallback, "_q", "_r")
+    number = F.regexp_extract("_r", r"\b(\d+)\b", 1).try_cast("int")
+    found = F.when(F.upper(F.trim("_r")) != "NONE", F.when(number.between(0, 100), number))
+    asked = asked.withColumns({"answer_int": found, "parsed_ok": found.isNotNull(), "parse_strategy": F.when(found.isNotNull(), "llm_fallback").otherwise("failed")})
+    return got.where(~failed).unionByName(asked.select(*got.columns))
 
 
 def run_single_stage(views: DataFrame, backend: Backend, model_id: str, done: DataFrame | None = None) -> DataFrame:
@@ -59,6 +75,21 @@ def run_two_stage(views: DataFrame, backend: Backend, model_id: str, first: str
     return parsed_records(got).withColumn("model_id", F.lit(model_id))
 
 
+def routed(models: DataFrame, hosted: Sequence[str], known_hosted: Sequence[str] = ()) -> DataFrame:
+    """Add ``is_hosted``: by the declared backend, by name where none is declared."""
+    declared = F.lower(F.coalesce("backend", F.lit("")))
+    by_name = F.coalesce(F.col("model_id").isin(*known_hosted), F.lit(False)) if known_hosted else F.lit(False)
+    return models.withColumn("is_hosted", F.when(declared != "", declared.isin(*hosted)).otherwise(by_name))
+
+
+def plain_tool_prompts(models: DataFrame, asked: bool = False, families: Sequence[str] = ("gemma", "olmo")) -> DataFrame:
+    """Add ``plaintext``: whether tool results go into the prompt, as asked, by family, or where the backend has no tool messages."""
+    family = F.lit(False)
+    for f in families:
+        family = family | F.lower("model_id").contains(f)
+    return models.withColumn("plaintext", F.lit(asked) | family | ~F.coalesce("supports_tools", F.lit(True)))
+
+
 def unfinished_cells(cells: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells without a summary: what a rerun has to do."""
     return cells.join(summaries.select(*keys).distinct(), list(keys), "left_anti")

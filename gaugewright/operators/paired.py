@@ -105,8 +105,8 @@ def _few_cells(cells: DataFrame) -> bool:
 
 
 def tasks(items: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Every item under every condition; the conditions are a dimension of a few rows."""
-    return items.crossJoin(F.broadcast(conditions))
+    """Every item under every condition; Spark broadcasts the conditions if they are few."""
+    return items.crossJoin(conditions)
 
 
 def open_tasks(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -263,7 +263,7 @@ def _render_rag(c: dict[str, Column]) -> Rendered:
 
 def rag_corpus(views: DataFrame, specs: DataFrame, wording: DataFrame) -> DataFrame:
     """(doc_id, item_id, domain, doc_type, relevance, anchor_value, text): each item's core, filler and nine anchor documents once."""
-    own = specs.join(F.broadcast(wording), "domain")
+    own = specs.join(wording, "domain")
     fixed = [own.select(F.concat("item_id", F.lit(f"_{k}")).alias("doc_id"), "item_id", "domain", F.lit(k).alias("doc_type"), F.lit("none").alias("relevance"), F.lit(None).cast("int").alias("anchor_value"), _pick(F.col(k), F.col("scenario_idx")).alias("text")) for k in ("core", "filler")]
     slots = views.where(~F.col("condition").rlike("_order_(first|last)$")).select(F.col("components")["anchor_doc_id"].alias("doc_id"), "item_id", "domain", F.lit("anchor_slot").alias("doc_type"), "relevance", "anchor_value", F.col("components")["slot_text"].alias("text"))
     return fixed[0].unionByName(fixed[1]).unionByName(slots)
@@ -336,7 +336,7 @@ def suite_views(specs: DataFrame, kind: str, wording: DataFrame | None = None, c
     suite, names = VARIANTS.get(kind, (kind, CONDITIONS.get(kind)))
     names = conditions or names
     known = wording.withColumn("_known", F.lit(True))
-    rows = specs.where(F.col("suite") == suite).join(F.broadcast(known), "domain", "left").where(require(F.col("_known"), F.concat(F.lit("no wording for domain "), "domain")))
+    rows = specs.where(F.col("suite") == suite).join(known, "domain", "left").where(require(F.col("_known"), F.concat(F.lit("no wording for domain "), "domain")))
     rows = rows.crossJoin(F.broadcast(condition_table(spark, names)))
     by_direction = F.when(F.col("direction") == "low", F.col("anchor_low")).when(F.col("direction") == "high", F.col("anchor_high"))
     # history's anchor is the model's own first answer; only an added sentence has a number

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,9 +134,9 @@ def prefer(rows: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
 
 
 def display_names(df: DataFrame, registry: DataFrame, slug: str = "slug", name: str = "short") -> DataFrame:
-    """Add the registry's short name, the slug itself where it has none. The registry is a dimension of a few hundred rows."""
+    """Add the registry's short name, the slug itself where it has none."""
     dim = registry.select(F.col("slug").alias(slug), F.col(name))
-    return df.join(F.broadcast(dim), slug, "left").withColumn(name, F.coalesce(name, slug))
+    return df.join(dim, slug, "left").withColumn(name, F.coalesce(name, slug))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +150,27 @@ def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).coalesce(1).write.option("header", "true").csv(path)
 
 
-def markdown(df: DataFrame, order: Sequence[str], digits: int = 4) -> str:
-    """A small report table (per-cell rows) as Markdown; nulls are dashes, numbers rounded as Python rounds them."""
-    rows = df.orderBy(*order).collect()
+def number(value: float | None, digits: int = 2, dash: str = "-", signed: bool = False, percent: bool = False) -> str:
+    """Fixed-point text as Python rounds it, of a share as whole percent; a dash for null and what isn't finite."""
+    if value is None or not math.isfinite(value):
+        return dash
+    if percent:
+        return f"{round(value * 100):d}%"
+    return f"{value:+.{digits}f}" if signed else f"{value:.{digits}f}"
+
+
+def markdown(df: DataFrame, order: Sequence[str], digits: int = 4, most: int = 10_000) -> str:
+    """A small report table (per-cell rows) as Markdown; nulls are dashes. More than ``most`` rows are an error: write those."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write the table instead")
     show = lambda v: "-" if v is None or v != v else f"{round(v, digits)}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns), *("| " + " | ".join(map(show, r)) + " |" for r in rows)])
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str, suites: Sequence[str] | None = None) -> DataFrame:
+    """JSON lines of a path that may not be there (then no rows), of the given suites."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    df = read_jsonl(spark, path, schema) if there else spark.createDataFrame([], f"{schema}, source_path string")
+    return df if suites is None else df.where(F.col("suite").isin(*suites))
