@@ -180,10 +180,14 @@ def fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Replace digest columns by sketches, and add each pair's counts of digests that one side has alone.
 
     ``pairs`` maps a name to two digest columns. Added: ``<column>_sketch`` (binary), ``<column>_n``, and for each pair
-    ``<name>_plus`` and ``<name>_minus``. The digest columns go. Written to the shared folder; rows are neither lost nor made.
+    ``<name>_plus`` and ``<name>_minus``. The digest columns go; columns of the new names are replaced, all other names are
+    free. Written to the shared folder; rows are neither lost nor made, and a null list of digests is empty.
     """
     sides = list(dict.fromkeys(c for p in pairs.values() for c in p))
-    rest = [c for c in df.columns if c not in sides]
+    new = {*(f"{c}_{x}" for c in sides for x in ("sketch", "n")), *(f"{n}_{x}" for n in pairs for x in ("plus", "minus"))}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in sides and c not in new]
+    digests = [F.coalesce(F.col(c), F.array().cast("array<bigint>")).alias(c) for c in sides]
+    df, rest = df.select(F.struct(*kept, F.lit(None).alias("_end")).alias("_doc"), *digests), ["_doc"]
     for c in sides:
         df = df.withColumn(f"{c}_cells", sketch(_hashed(F.col(c), 0)))
     none = F.array().cast("array<bigint>")
@@ -208,11 +212,12 @@ def fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
         found.append(tried.where("x.ok").select("_row", "pair", "x.plus", "x.minus"))
         todo = tried.where("not x.ok")
     out = base.select(*names, *counts, "_row", unsettled.alias("_open"))
+    order = ["_doc.*", *[c for c in names if c != "_doc"], *[f"{n}_{s}" for n in pairs for s in ("plus", "minus")]]
     if not found:
-        return out.drop("_row", "_open")
+        return out.select(*order).drop("_end")
     sums = reduce(DataFrame.unionByName, found).groupBy("_row").agg(*[F.sum(F.when(F.col("pair") == name, F.col(side)).otherwise(0)).alias(f"_{name}_{side}") for name in pairs for side in ("plus", "minus")])
     late = out.where("_open").join(sums, "_row", "left").withColumns({f"{name}_{side}": F.col(f"{name}_{side}") + F.coalesce(F.col(f"_{name}_{side}"), F.lit(0)) for name in pairs for side in ("plus", "minus")})
-    return out.where("not _open").select(*names, *[f"{n}_{s}" for n in pairs for s in ("plus", "minus")]).unionByName(late.select(*names, *[f"{n}_{s}" for n in pairs for s in ("plus", "minus")]))
+    return out.where("not _open").select(*order).unionByName(late.select(*order)).drop("_end")
 
 
 def _one_line(text: Column) -> Column:

@@ -1,10 +1,12 @@
 """The pipeline's near-dedup stage against brute-force Jaccard similarity."""
 
-import hashlib
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
+from gaugewright.llm import simhash
 
 
 def shingles(text):
@@ -26,7 +28,9 @@ def kept(texts):
     return set(root)
 
 
-def test_stage_links_all_pairs_of_similarity_08(spark):
+@pytest.mark.parametrize("sample", [1, 16])  # every text, or few, set the order of shingles
+def test_stage_links_all_pairs_of_similarity_08(spark, monkeypatch, sample):
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", sample)
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
     passage = rng.choices(vocab, k=40)
@@ -43,25 +47,3 @@ def test_stage_links_all_pairs_of_similarity_08(spark):
     want = kept(texts)
     assert len(want) < len(set(texts)) - 100
     assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == want
-
-
-def test_stage_links_with_any_order_of_shingles(spark, monkeypatch):
-    from gaugewright.llm import simhash
-
-    monkeypatch.setattr(simhash, "COMMON_SAMPLE", 1)
-    test_stage_links_all_pairs_of_similarity_08(spark)
-
-
-def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choices(["cat", "dog", "sun", "tree", "house", "Größe"], k=rng.randint(30, 200))) for _ in range(20)]
-    texts += [t + " end" for t in texts] + [None]
-    rows = [(i, t, "ab"[i % 2], f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    alone = corpus_pipeline.simhash_near_dedup(spark, corpus_pipeline.language_id(spark, docs, ""), "")
-    assert sorted(r["doc_id"] for r in alone.collect()) == list(range(20))
-    want = sorted(r["doc_id"] for r in corpus_pipeline.mixing(spark, alone, "").collect())
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(r["doc_id"] for r in out) == want
-    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in out)
