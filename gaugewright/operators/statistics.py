@@ -98,7 +98,7 @@ def bootstrap_ci(df: DataFrame, cell: Sequence[str], value: str, order: Sequence
         return _per_cell(rows, cell, order, ["_v"], ["mean", "lo", "hi"], lambda v: bootstrap_interval(v, n_boot, seed, alpha))
     if method != "poisson":
         raise ValueError(f"unknown method {method}")
-    means = poisson_sums(rows, cell, ["_v"], order, n_boot, seed).select(*cell, (F.col("_v") / F.col("w")).alias("_m"))
+    means = poisson_sums(rows, cell, ["_v"], order, n_boot, seed).select(*cell, F.try_divide("_v", "w").alias("_m"))
     ends = means.groupBy(*cell).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
     return rows.groupBy(*cell).agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).join(ends, list(cell))
 
@@ -127,7 +127,7 @@ def pearson_ci(df: DataFrame, cell: Sequence[str], x: str, y: str, order: Sequen
     rows = rows.withColumns({"_xx": F.col("_x") * F.col("_x"), "_yy": F.col("_y") * F.col("_y"), "_xy": F.col("_x") * F.col("_y")})
     s = poisson_sums(rows, cell, ["_x", "_y", "_xx", "_yy", "_xy"], order, n_boot, seed)
     w, spread = F.col("w"), lambda c: F.col(f"_{c}{c}") * F.col("w") - F.col(f"_{c}") * F.col(f"_{c}")
-    r = F.try_divide(F.col("_xy") * w - F.col("_x") * F.col("_y"), F.sqrt(spread("x") * spread("y")))
+    r = F.try_divide(F.col("_xy") * w - F.col("_x") * F.col("_y"), F.sqrt(F.greatest(spread("x") * spread("y"), F.lit(0.0))))
     ends = s.select(*cell, r.alias("_r")).groupBy(*cell).agg(F.percentile("_r", alpha / 2).alias("lo"), F.percentile("_r", 1 - alpha / 2).alias("hi"))
     return rows.groupBy(*cell).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("r")).join(ends, list(cell))
 

@@ -52,3 +52,16 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", "i", "control", 2, 50, None, 50, True)], schema).write.mode("append").json(str(src))
     recompute_on_arrival(spark.readStream.schema(schema).json(str(src)), *args).awaitTermination()
     assert latest_metrics(spark, args[1], ["m"]).first()["uai_plaus"] == 0.5
+
+
+def test_unified_summaries_and_offsets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gaugewright.functions.influence import offset_of
+
+    (tmp_path / "a.json").write_text('[{"model": "m", "uai": 0.5}, {"model": "n", "uai": null}]')
+    (tmp_path / "b.json").write_text('{"model": "o", "uai": 0.1}')
+    got = files.read_summaries(spark, [f"file://{tmp_path}/a.json", f"file://{tmp_path}/b.json"], "model string, uai double")
+    assert {r["model"]: r["uai"] for r in got.collect()} == {"m": 0.5, "n": None, "o": 0.1}
+    ids = spark.createDataFrame([("EXT-d-e-off25-001", None), ("EXT-d-e-off25-001", 40), ("HIST-d-e-001", None)], "item_id string, anchor int")
+    assert [r[0] for r in ids.select(offset_of(F.col("item_id"), F.col("anchor"))).collect()] == [25, 40, None]
