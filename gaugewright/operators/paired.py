@@ -20,23 +20,34 @@ from ..sources.files import require
 def last_wins(records: DataFrame, cell: Sequence[str], keep: Sequence[str] = ("answer", "anchor", "gold")) -> DataFrame:
     """One row per (cell, item, condition): the parsed one of the highest ``pos``. Partial aggregates run before the shuffle."""
     keys = [*cell, "item", "condition"]
-    got = records.where("parsed_ok").groupBy(*keys).agg(F.max_by(F.struct(*keep), F.col("pos")).alias("r"))
-    return got.select(*keys, "r.*")
+    rows = records.where("parsed_ok").groupBy(*keys)
+    if _fixed_width(records, "pos", *keep):
+        return rows.agg(*[F.max_by(c, "pos").alias(c) for c in keep])
+    return rows.agg(F.max_by(F.struct(*keep), F.col("pos")).alias("r")).select(*keys, "r.*")
+
+
+def _fixed_width(df: DataFrame, *columns: str) -> bool:
+    """Whether all columns are of types that a hash aggregate updates in place; others make Spark sort the rows first."""
+    return all(t in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp") for c, t in df.dtypes if c in columns)
 
 
 def item_table(records: DataFrame, cell: Sequence[str], conditions: Sequence[str] = (CONTROL, *CORE_ANCHORED), extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per (cell, item), wide: for each condition a struct (answer, anchor, gold, stage1) of its last parsed row.
 
-    One shuffle does dedup and control attachment. Also counts: n_records (all rows), n_answered (parsed with an answer)
+    A condition that an item lacks has null fields. Give ``pos`` a number or a time: then nothing is sorted. One shuffle does dedup and control attachment. Also counts: n_records (all rows), n_answered (parsed with an answer)
     and has_parsed. ``extra`` adds aggregates per item.
     """
-    value = F.struct("answer", "anchor", "gold", *(["stage1"] if "stage1" in records.columns else []))
+    fields = ["answer", "anchor", "gold", *(["stage1"] if "stage1" in records.columns else [])]
     counts = [
         F.count("*").alias("n_records"),
         F.count_if(F.col("parsed_ok") & F.col("answer").isNotNull()).alias("n_answered"),
         F.max(F.coalesce(F.col("parsed_ok"), F.lit(False))).alias("has_parsed"),
     ]
-    wide = [F.max_by(value, F.when(F.col("parsed_ok") & (F.col("condition") == c), F.col("pos"))).alias(c) for c in conditions]
+    at = {c: F.when(F.col("parsed_ok") & (F.col("condition") == c), F.col("pos")) for c in conditions}
+    if _fixed_width(records, "pos", *fields):  # a value at a time: a hash aggregate
+        wide = [F.struct(*[F.max_by(x, at[c]).alias(x) for x in fields]).alias(c) for c in conditions]
+    else:
+        wide = [F.max_by(F.struct(*fields), at[c]).alias(c) for c in conditions]
     more = [v.alias(k) for k, v in (extra or {}).items()]
     return records.groupBy(*cell, "item").agg(*counts, *wide, *more)
 
@@ -91,19 +102,11 @@ def with_baseline(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL
     metrics over each cell's own baseline. ``strict``: a cell without either control is an error.
     """
     chosen = baseline_choice(records, cell, prefer, strict)
-    rows = records.join(F.broadcast(chosen) if _few_cells(chosen) else chosen, list(cell))
+    rows = records.join(chosen, list(cell))
     name = F.when(F.col("condition") == F.col("baseline"), CONTROL).when((F.col("condition") == CONTROL) & (F.col("baseline") != CONTROL), TWO_STAGE).otherwise(F.col("condition"))
     return rows.withColumn("condition", name)
 
 
-#: Cells whose baselines may be broadcast.
-BROADCAST_CELLS = 100_000
-
-
-def _few_cells(cells: DataFrame) -> bool:
-    return cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-
-
 def tasks(items: DataFrame, conditions: DataFrame) -> DataFrame:
     """Every item under every condition; Spark broadcasts the conditions if they are few."""
     return items.crossJoin(conditions)

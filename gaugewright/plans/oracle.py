@@ -17,7 +17,7 @@ REC = f"""rec AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 d AS (
   SELECT * FROM rec WHERE parsed_ok
-  QUALIFY row_number() OVER (PARTITION BY item, condition ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC, l_quantity DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY item, condition ORDER BY l_partkey DESC, CAST(round(l_extendedprice * 100) AS BIGINT) DESC) = 1)"""
 
 
 def _val(c: str, x: str) -> str:
