@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bytebpe import presplit, ragged, range_hash, spelled, vocabulary
-from .common import CHUNK_CHARS, chunks, table, vocabulary_path
+from .common import CHUNK_CHARS, chunks, materialize, table, vocabulary_path
 
 UNKNOWN = "und"
 #: Labelled texts per language that the fit uses: those with the smallest hash of their id. Prediction covers all texts.
 SAMPLE_PER_LANGUAGE = 400
-#: Sampled ids that may be broadcast to the texts; with more (hundreds of languages) the join shuffles.
+#: Languages, and sampled ids, that may be broadcast to the texts; with more (hundreds of languages) the join shuffles.
 BROADCAST_IDS = 100_000
 #: Languages whose dense piece tables are held at a time; a model with more is scored block by block, with the same results.
 LANGUAGE_BLOCK = 16
@@ -147,9 +147,12 @@ def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     uses: it grows with the number of languages, not of documents.
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
-    # a task passes on per_language rows of a language at most (the window's group limit works before the shuffle)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
     ids = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang")).where("id is not null and lang is not null")
+    # of a language some 2 * per_language rows of the lowest hashes reach the window, however many rows or tasks there are
+    sizes = materialize(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    low = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64 < 2.0 * per_language / F.col("n")
+    ids = ids.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "lang").where(low).drop("n")
     picked = ids.withColumn("h", F.xxhash64("id")).withColumn("r", rank).where(F.col("r") <= per_language)
     sample = picked.select("lang", "id").distinct()
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
