@@ -76,8 +76,8 @@ def _key() -> Column:
 
 
 def _in_pass(k: int) -> Column:
-    """Whether pass k takes the row, if no earlier one did (where pass k takes nothing of a source, ``upto`` is null)."""
-    return F.coalesce((F.col("size") <= F.col(f"room{k}")) & (_key() <= F.col(f"upto{k}")), F.lit(False))
+    """Whether pass k takes the row, if no earlier one did (where pass k takes nothing of a source, ``upto`` is null). Rows without a share have no rank and are never taken."""
+    return F.coalesce((F.col("share") > 0) & (F.col("size") <= F.col(f"room{k}")) & (_key() <= F.col(f"upto{k}")), F.lit(False))
 
 
 def _taken(k: int) -> Column:

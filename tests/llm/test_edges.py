@@ -107,3 +107,34 @@ def test_mixing_ties(spark):
     df = spark.createDataFrame([(5, "s", "a b c", "x")] * 6 + [(None, "s", "a b c", "y")] * 2, "doc_id long, source string, text string, mix_target string")
     out = mixing.mix(df, weights=(1,), budget=0.5).collect()
     assert len(out) == 8 and len({r["mix_copies"] for r in out if r["doc_id"] == 5}) == 1
+
+
+def _meets_targets(rows):
+    """No document above twice its size; every source's taken words within the longest document of its target that can be left out."""
+    by = {}
+    for r in rows:
+        assert r["mix_copies"] in (0, 1, 2)
+        by.setdefault(r["source"], []).append(r)
+    for own in by.values():
+        taken, target = sum(r["mix_size"] * r["mix_copies"] for r in own), own[0]["mix_target"]
+        assert taken <= target + 1e-6
+        left = [r["mix_size"] for r in own if r["mix_copies"] < 2 and r["mix_size"]]
+        assert target - taken <= max(left, default=0) + 0.001 * target + 1e-6
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_random_sources_with_full_partial_and_empty_classes(spark, seed):
+    rng = random.Random(seed)
+    rows, i = [], 0
+    for s in range(rng.randint(3, 9)):
+        for _ in range(rng.choice([1, 2, 5, 30, 120])):
+            i += 1
+            rows.append((i, f"s{s}" if s else None, " ".join(["w"] * rng.choice([0, 1, 3, 7, 8, 60, 200, 900]))))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    _meets_targets(mixing.mix(df).collect())
+
+
+def test_mixing_of_the_documents_meets_every_target(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    _meets_targets(rows)
+    assert len(rows) == 1000
