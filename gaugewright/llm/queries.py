@@ -9,6 +9,7 @@ from .iblt import op3_iblt_fingerprints
 from .language import op8_language_id
 from .lm_scoring import op1_ce_difference
 from .merkle import op13_merkle_manifest
+from .runs import op12_lyndon_runs
 from .simhash import op6_simhash
 from .telephony import op10_telephony
 from .token_counts import op5_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_windows": op9_chat_windows,
     "op10_telephony": op10_telephony,
+    "op12_lyndon_runs": op12_lyndon_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
