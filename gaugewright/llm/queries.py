@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import cover_tree, mixing, warc
 from .bpe_automaton import op7_bpe_automaton
 from .chat import op9_chat_windows
 from .iblt import op3_iblt_fingerprints
@@ -25,8 +25,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_windows": op9_chat_windows,
     "op10_telephony": op10_telephony,
+    "op11_cover_tree": cover_tree.op11_cover_tree,
     "op12_lyndon_runs": op12_lyndon_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = warc.ORACLE_SQL | mixing.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = warc.ORACLE_SQL | mixing.ORACLE_SQL | cover_tree.ORACLE_SQL
