@@ -1,36 +1,62 @@
-"""Model runs as batch jobs: prompts in, parsed records out. A backend is any function from a list of prompts to answers."""
+"""Model runs as batch jobs: prompts or chats in, parsed records out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_response
 
-Backend = Callable[[list[str]], list[str]]
 
+class ChatBackend(Protocol):
+    """A model that reads more than prompts. Every method answers its list in order; ``settings`` has a dict per request (empty where a run has no settings)."""
 
-def fake_backend(prompts: list[str]) -> list[str]:
+    #: Whether messages of tools can be sent; else their results have to stand in the prompt.
+    supports_tools: bool
+
+    def __call__(self, prompts: list[str], settings: list[dict] | None = None) -> list[str]: ...
+
+    def chat(self, messages: list[list[dict]], settings: list[dict], tools: list[dict] | None = None) -> list[str]: ...
+
+
+#: A model: a plain function from prompts to answers (asked with settings as second argument where a run has some) or a ChatBackend.
+Backend = Callable[..., list[str]]
+
+
+def fake_backend(prompts: list[str], settings: list[dict] | None = None) -> list[str]:
     """Deterministic answers for tests: the prompt's length modulo 101."""
     return [f"My final answer is {len(p) % 101}." for p in prompts]
 
 
-def generate(df: DataFrame, backend: Backend, prompt: str = "prompt_text", out: str = "raw_text") -> DataFrame:
-    """Add the backend's answer to each prompt, batch by batch; a batch with another number of answers is an error."""
-    schema = df.drop(out).select("*", F.lit("").alias(out)).schema
+def generate(df: DataFrame, backend: Backend, prompt: str = "prompt_text", out: str = "raw_text", settings: Sequence[str] = (), messages: str | None = None, tools: list[dict] | None = None) -> DataFrame:
+    """Add the backend's answer to each row, batch by batch; a batch with another number of answers is an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prompts = pdf[prompt].fillna("").tolist()
-            answers = backend(prompts)
-            if len(answers) != len(prompts):
-                raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
-            yield pdf.assign(**{out: answers})
-
-    return df.drop(out).mapInPandas(run, schema)
+    Rows are asked their prompt, or their ``messages`` (an array of structs; null fields are left out) through the
+    backend's ``chat``. The columns ``settings`` go with each request as a dict.
+    """
+    source = df.drop(out)
+    schema = source.select("*", F.lit("").alias(out)).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(names.index(name)).to_pylist()
+            each = [dict(zip(settings, v)) for v in zip(*map(column, settings))] if settings else [{}] * batch.num_rows
+            if messages:
+                chats = [[{k: v for k, v in m.items() if v is not None} for m in chat or []] for chat in column(messages)]
+                answers = backend.chat(chats, each, tools)
+            else:
+                prompts = [p or "" for p in column(prompt)]
+                answers = backend(prompts, each) if settings else backend(prompts)
+            if len(answers) != batch.num_rows:
+                raise ValueError(f"{len(answers)} answers to {batch.num_rows} prompts")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=names)
+
+    return source.mapInArrow(run, schema)
 
 
 #: Longer failed texts are shown to a fallback by their first and last characters only.
@@ -54,10 +80,10 @@ def parsed_records(df: DataFrame, raw: str = "raw_text", prompt: str = "prompt_t
     return got.where(~failed).unionByName(asked.select(*got.columns))
 
 
-def run_single_stage(views: DataFrame, backend: Backend, model_id: str, done: DataFrame | None = None) -> DataFrame:
-    """Records of all views that ``done`` has no record of (by item and condition)."""
+def run_single_stage(views: DataFrame, backend: Backend, model_id: str, done: DataFrame | None = None, settings: Sequence[str] = (), messages: str | None = None, tools: list[dict] | None = None) -> DataFrame:
+    """Records of all views that ``done`` has no record of (by item and condition); settings, messages and tools as ``generate``."""
     todo = views if done is None else views.join(done.select("item_id", "condition").distinct(), ["item_id", "condition"], "left_anti")
-    return parsed_records(generate(todo, backend)).withColumn("model_id", F.lit(model_id))
+    return parsed_records(generate(todo, backend, settings=settings, messages=messages, tools=tools)).withColumn("model_id", F.lit(model_id))
 
 
 def run_two_stage(views: DataFrame, backend: Backend, model_id: str, first: str = "stage1_prompt", second: str = "stage2_prompt") -> DataFrame:
@@ -82,7 +108,16 @@ def routed(models: DataFrame, hosted: Sequence[str], known_hosted: Sequence[str]
     return models.withColumn("is_hosted", F.when(declared != "", declared.isin(*hosted)).otherwise(by_name))
 
 
-def plain_tool_prompts(models: DataFrame, asked: bool = False, families: Sequence[str] = ("gemma", "olmo")) -> DataFrame:
+#: Families whose chat templates have no role for tools.
+PLAIN_FAMILIES = ("gemma", "olmo")
+
+
+def sends_plain_tools(model_id: str, backend: Backend, asked: bool = False) -> bool:
+    """Whether a run puts tool results into the prompt: as asked, by family, or because the backend has no tool messages."""
+    return asked or any(f in model_id.lower() for f in PLAIN_FAMILIES) or not getattr(backend, "supports_tools", hasattr(backend, "chat"))
+
+
+def plain_tool_prompts(models: DataFrame, asked: bool = False, families: Sequence[str] = PLAIN_FAMILIES) -> DataFrame:
     """Add ``plaintext``: whether tool results go into the prompt, as asked, by family, or where the backend has no tool messages."""
     family = F.lit(False)
     for f in families:

@@ -144,6 +144,12 @@ def realism_of(condition: Column, variants: Sequence[str]) -> Column:
     return out
 
 
+def keep_first(rows: DataFrame, keys: Sequence[str], place: Sequence[str]) -> DataFrame:
+    """Of rows with equal keys (null is a key) the first by ``place``, which tells rows of a key apart; partial aggregates run before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*place)).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+
+
 def splice(core: DataFrame, new: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """Core records of the kept conditions, then new ones: ``part`` 0 and 1 go before ``pos``."""
     core = core if keep is None else core.where(F.col("condition").isin(*keep))

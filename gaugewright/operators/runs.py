@@ -10,23 +10,35 @@ from pyspark.sql import functions as F
 from ..schemas import CONTROL, CORE_ANCHORED, TWO_STAGE
 from ..sources.files import write_summaries
 from .analysis import curve
-from .inference import Backend, run_single_stage, run_two_stage
+from .inference import Backend, run_single_stage, run_two_stage, sends_plain_tools
 from .metrics import unified_metrics
 from .paired import by_visible_count, realism_of, splice, with_baseline
-from .suites import SUFFIXES, VARIANTS, suite_views, tool_messages, with_suffix
+from .suites import SUFFIXES, TOOLS, VARIANTS, suite_views, tool_messages, with_suffix
 
 CELL = ["model_id", "suite"]
 
 
+#: Rows of one part of a spliced run, most: places of a part stay below this.
+PART_ROWS = 1 << 50
+
+
 def evaluation_rows(records: DataFrame) -> DataFrame:
-    """Records under the names that paired metrics read: item, answer, anchor, gold, and the item's place as ``pos``."""
-    columns = {"item": F.col("item_id"), "answer": F.col("answer_int"), "anchor": F.col("anchor_value"), "gold": F.col("y_star"), "pos": F.concat_ws("/", "item_id", "condition")}
+    """Records under the names that paired metrics read: item, answer, anchor, gold, and ``pos``, a long.
+
+    ``pos`` goes by ``part`` (a spliced run's core is before its new records) and then by ``place`` (the line's place in its
+    file, see ``read_jsonl``), where records have these columns; rows that have neither are taken to be one per view.
+    """
+    part = F.coalesce(F.col("part"), F.lit(0)).cast("long") if "part" in records.columns else F.lit(0).cast("long")
+    place = F.coalesce(F.col("place"), F.lit(0)).cast("long") if "place" in records.columns else F.lit(0).cast("long")
+    columns = {"item": F.col("item_id"), "answer": F.col("answer_int"), "anchor": F.col("anchor_value"), "gold": F.col("y_star"), "pos": part * PART_ROWS + place}
     rows = records.withColumns(columns)
     return rows.withColumn("stage1", F.col("stage1_answer")) if "stage1_answer" in records.columns else rows
 
 
-def run_suite(specs: DataFrame, suite: str, backend: Backend, model_id: str, done: DataFrame | None = None) -> DataFrame:
-    """Records of a suite's views. History is asked in two turns; tool views carry their messages."""
+def run_suite(specs: DataFrame, suite: str, backend: Backend, model_id: str, done: DataFrame | None = None, plain_tools: bool = False) -> DataFrame:
+    """Records of a suite's views. History is asked in two turns. Tool views are asked as messages with calls and results,
+    or as plain prompts if ``plain_tools`` says so, the model's family has no role for tools or the backend sends none.
+    """
     views = suite_views(specs, suite)
     if suite == "history":
         part = lambda n: F.col("components")[n]
@@ -34,7 +46,9 @@ def run_suite(specs: DataFrame, suite: str, backend: Backend, model_id: str, don
         if done is not None:
             two = two.join(done.select("item_id", "condition").distinct(), ["item_id", "condition"], "left_anti")
         return run_two_stage(two, backend, model_id)
-    return run_single_stage(tool_messages(views) if suite == "tool" else views, backend, model_id, done)
+    if suite == "tool" and not sends_plain_tools(model_id, backend, plain_tools):
+        return run_single_stage(tool_messages(views), backend, model_id, done, messages="messages", tools=TOOLS)
+    return run_single_stage(views, backend, model_id, done)
 
 
 def suite_metrics(records: DataFrame, suite: str, two_stage: bool = False) -> DataFrame:
@@ -52,11 +66,15 @@ def run_strategies(specs: DataFrame, suite: str, backend: Backend, model_id: str
     return run_single_stage(with_suffix(views, F.col("mitigation")), backend, model_id)
 
 
-def run_sampling(specs: DataFrame, suite: str, backend: Backend, model_id: str, temperatures: Sequence[float], seeds: Sequence[int]) -> DataFrame:
-    """Records of a suite per temperature and seed; temperature 0 is greedy and has seed 0 alone. A sampling backend reads both off the prompt's row order by itself."""
-    settings = [(0.0, 0)] * (0.0 in temperatures) + [(t, s) for t in temperatures if t for s in seeds]
-    drawn = specs.sparkSession.createDataFrame(settings, "temperature double, seed_idx int")
-    return run_single_stage(suite_views(specs, suite).crossJoin(drawn), backend, model_id)
+def run_sampling(specs: DataFrame, suite: str, backend: Backend, model_id: str, temperatures: Sequence[float], seeds: Sequence[int], top_p: float = 0.9) -> DataFrame:
+    """Records of a suite per temperature and seed; temperature 0 is greedy and has seed 0 alone.
+
+    The backend gets temperature, seed_idx and top_p of each request as its settings. ``tag`` names the setting as result
+    folders do: greedy, or t<temperature>_s<seed>.
+    """
+    settings = [(0.0, 0, 1.0, "greedy")] * (0.0 in temperatures) + [(t, s, top_p, f"t{t}_s{s}") for t in temperatures if t for s in seeds]
+    drawn = specs.sparkSession.createDataFrame(settings, "temperature double, seed_idx int, top_p double, tag string")
+    return run_single_stage(suite_views(specs, suite).crossJoin(F.broadcast(drawn)), backend, model_id, settings=("temperature", "seed_idx", "top_p"))
 
 
 def run_variant(specs: DataFrame, kind: str, backend: Backend, model_id: str, core: DataFrame | None = None) -> DataFrame:

@@ -298,6 +298,14 @@ def _render_tool(c: dict[str, Column]) -> Rendered:
 MESSAGE = "struct<role:string,content:string,tool_call_id:string,tool:string,arguments:string>"
 
 
+def _tool(name: str, text: str, argument: str) -> dict:
+    return {"type": "function", "function": {"name": name, "description": text, "parameters": {"type": "object", "properties": {argument: {"type": "string"}}, "required": [argument]}}}
+
+
+#: The tools that ``tool_messages`` calls, as chat backends take them.
+TOOLS = [_tool("summarize_ratings", "Summary of an item's ratings.", "item"), _tool("look_up_reference", "A figure from outside for a domain.", "domain")]
+
+
 def tool_messages(views: DataFrame) -> DataFrame:
     """Add ``messages``: system, user, and two rounds of call and answer, as array<MESSAGE>; a call has no content unless elicited."""
     part = lambda n: F.col("components")[n]

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from ..schemas import ITEMSPECS, PROMPT_VIEWS, RECORDS
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, places: bool = False) -> DataFrame:
     """JSON lines with the given schema, the file of each row in ``source_path``; blank lines are skipped.
 
+    ``places`` adds ``place``, a long that grows along a file: the start of the line's split and its number there. (A split
+    has fewer lines than bytes, and lines are counted over one task's splits, which together are no longer than one.)
+
     ``strict``: a malformed line is an error that names its file, whatever columns are asked for (the check is a filter
     over all columns, so column pruning can't drop it). Otherwise it is a row with ``_corrupt_record`` set.
     """
     df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path)
     read = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "_corrupt_record"]))
     df = df.withColumn("source_path", F.col("_metadata.file_path"))
+    if places:
+        df = df.withColumn("place", F.input_file_block_start() + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     if not strict:
         return df
     wrong = F.concat(F.lit("malformed line in "), F.col("source_path"), F.lit(": "), F.col("_corrupt_record"), F.lit(" read as "), read)
@@ -65,9 +70,9 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
 def read_results(spark: SparkSession, base: str, suites: Sequence[str] | None = None, schema: str = RECORDS) -> DataFrame:
     """Records of a tree ``<base>/<suite>/<slug>[/<variant>]/results.jsonl`` with suite, slug and variant from the path.
 
-    Folders that begin with an underscore are skipped. Within a file the order is the reader's: give rows a position.
+    Folders that begin with an underscore are skipped. ``place`` is a row's place in its file.
     """
-    df = read_jsonl(spark, f"{base.rstrip('/')}/*/*", schema).withColumnRenamed("suite", "record_suite")
+    df = read_jsonl(spark, f"{base.rstrip('/')}/*/*", schema, places=True).withColumnRenamed("suite", "record_suite")
     tail = F.regexp_extract("source_path", r"/([^/]+/[^/]+(?:/[^/]+)?)/[^/]+$", 1)
     rel = F.split(F.regexp_replace(F.replace("source_path", F.lit("file://"), F.lit("")), "^.*?" + _quoted(base.rstrip("/").replace("file://", "")) + "/", ""), "/")
     df = df.withColumns({"suite": F.get(rel, F.lit(0)), "slug": F.get(rel, F.lit(1)), "variant": F.when(F.size(rel) > 3, F.get(rel, F.lit(2)))}).where(~F.col("suite").startswith("_") & ~F.col("slug").startswith("_") & (tail != ""))
