@@ -1 +1,3 @@
-"""Spark-native analytics for controlled language-model evaluation experiments."""
+"""A Spark engine for controlled language-model evaluations and training-data pipelines."""
+
+__version__ = "0.3.0"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CONTROL, CORE_ANCHORED, TWO_STAGE
-from ..sources.files import write_summaries
+from ..sources.committed import write_run
 from .analysis import curve
 from .inference import Backend, run_single_stage, run_two_stage, sends_plain_tools
 from .metrics import unified_metrics
@@ -98,7 +98,7 @@ def partial_evidence_metrics(records: DataFrame) -> DataFrame:
     return unified_metrics(evaluation_rows(by_visible_count(records)), [*CELL, "k"])
 
 
-def finish(records: DataFrame, metrics: DataFrame, path: str) -> None:
-    """Write a run: records as JSON lines by cell, a summary per cell and one table of all."""
-    records.write.partitionBy(*CELL).json(f"{path}/records")
-    write_summaries(metrics, f"{path}/summaries", CELL)
+def finish(records: DataFrame, metrics: DataFrame, path: str, config: dict | None = None) -> None:
+    """Write a run: records as JSON lines by cell, then, committed together, a summary per cell, one table of all and the run's configuration."""
+    records.write.mode("overwrite").partitionBy(*CELL).json(f"{path}/records")
+    write_run(metrics, f"{path}/summaries", CELL, config)

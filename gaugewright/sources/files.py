@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..schemas import ITEMSPECS, PROMPT_VIEWS, RECORDS
 
@@ -79,6 +80,23 @@ def read_results(spark: SparkSession, base: str, suites: Sequence[str] | None =
     return df if suites is None else df.where(F.col("suite").isin(*suites))
 
 
+def list_results(spark: SparkSession, base: str, suites: Sequence[str], registry: DataFrame | None = None) -> DataFrame:
+    """Result files of a tree as a list, without reading them: (ord, suite, slug, short, path).
+
+    Files are ``<base>/<suite>/<slug>[/<variant>]/results.jsonl`` of the given suites, in their order, then by path; files
+    at other depths don't count. ``short`` is the registry's name (slug, short), the slug where it has none.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "results.jsonl").load(base).select("path")
+    root = _quoted(base.rstrip("/").removeprefix("file://").removeprefix("file:"))
+    rel = F.split(F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), f"^.*?{root}/", ""), "/")
+    order = F.create_map(*[F.lit(x) for i, name in enumerate(suites) for x in (name, i)])
+    rows = found.select("path", rel.alias("_rel")).where(F.size("_rel").between(3, 4)).select("path", "_rel", F.get("_rel", F.lit(0)).alias("suite"), F.get("_rel", F.lit(1)).alias("slug"))
+    rows = rows.withColumn("_suite", order[F.col("suite")]).where(F.col("_suite").isNotNull())
+    rows = rows.withColumn("ord", F.row_number().over(W.orderBy("_suite", "_rel")) - 1)  # one row per result file
+    names = registry if registry is not None else spark.createDataFrame([], "slug string, short string")
+    return display_names(rows, names).select("ord", "suite", "slug", "short", "path")
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
