@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,23 +73,37 @@ def half_even(value: Column) -> Column:
     return F.bround(value, 0).cast("int")
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _median(values: Column, weights: Column | None) -> Column:
+    n, s = F.size(values), F.array_sort(values)
+    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
+    return (low + high) / F.lit(2.0)
+
+
+def _weighted_mean(values: Column, weights: Column | None) -> Column:
+    w = F.slice(weights, F.lit(1), F.size(values))
+    return _sum(F.zip_with(values, w, lambda x, y: x * y)) / _sum(w)
+
+
+#: Scoring rules by name: from the visible values (not empty) and their weights to a score. ``register_rule`` adds to them.
+RULES: dict[str, Callable[[Column, Column | None], Column]] = {"mean": lambda values, weights: _sum(values) / F.size(values), "median": _median, "weighted_mean": _weighted_mean}
+
+
+def register_rule(name: str, rule: Callable[[Column, Column | None], Column]) -> None:
+    """Add a scoring rule for generated items, their gold answers and the checks of both."""
+    if name in RULES:
+        raise ValueError(f"scoring rule {name} is there already")
+    RULES[name] = rule
+
+
 def gold_answer(values: Column, rule: str = "mean", weights: Column | None = None) -> Column:
-    """Half-even rounded score of the visible values (array<int>): mean, median or weighted_mean; 0 if there are none.
+    """Half-even rounded score of the visible values (array<int>) by one of RULES; 0 if there are none.
 
     Weights are taken from the front, one per visible value, whatever positions are missing.
     """
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    if rule == "mean":
-        score = total / n
-    elif rule == "median":
-        s = F.array_sort(values)
-        low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-        score = (low + high) / F.lit(2.0)
-    elif rule == "weighted_mean":
-        w = F.slice(weights, F.lit(1), n)
-        pairs = F.zip_with(values, w, lambda x, y: x * y)
-        score = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
-    else:
+    if rule not in RULES:
         raise ValueError(f"unknown scoring rule {rule}")
-    return F.when(n > 0, half_even(score)).otherwise(0)
+    return F.when(F.size(values) > 0, half_even(RULES[rule](values, weights))).otherwise(0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.influence import gold_answer
+from ..functions.influence import RULES, gold_answer
 from ..schemas import CONTROL, CORE_ANCHORED, OFFSETS
 from ..sources.files import require
 
@@ -54,6 +54,19 @@ def item_grid(spark: SparkSession, prefix: str, n_per_cell: int = 10, domains: S
     return g.withColumn("item_id", tx.item_id(F.lit(prefix), F.col("domain"), F.col("difficulty"), F.col("offset"), F.col("n")))
 
 
+def grid_over(rows: DataFrame, prefix: str, domains: Sequence[str] = DOMAINS, difficulties: Sequence[str] = DIFFICULTIES, offsets: Sequence[int] | None = OFFSETS) -> DataFrame:
+    """Items over the rows of any table with a ``global_idx`` of their own (from 0): domains, difficulties and offsets take turns by it.
+
+    Without offsets item ids have no offset part. Nothing is shuffled, and other columns go.
+    """
+    pick = lambda values, every: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("global_idx") / every) % len(values) + 1).cast("int"))
+    g = rows.select("global_idx").withColumns({"domain": pick(domains, 1), "difficulty": pick(difficulties, len(domains)), "n": (F.col("global_idx") + 1).cast("int")})
+    if offsets is None:
+        return g.withColumn("item_id", F.concat_ws("-", F.lit(prefix), "domain", F.substring("difficulty", 1, 1), F.format_string("%03d", "n")))
+    g = g.withColumn("offset", pick(offsets, len(domains) * len(difficulties)))
+    return g.withColumn("item_id", tx.item_id(F.lit(prefix), F.col("domain"), F.col("difficulty"), F.col("offset"), F.col("n")))
+
+
 def itemspecs(grid: DataFrame, seed: int = 42, rule: str = "mean") -> DataFrame:
     """Add theta (30 to 70), five ratings around it with some missing, the gold answer, both anchors and template indices.
 
@@ -135,8 +148,11 @@ def _recomputed_gold(specs: DataFrame, seen: Column) -> Column:
     mean = gold_answer(seen)
     if "rule" not in specs.columns:
         return mean
-    weights = F.array(*map(F.lit, WEIGHTS))
-    return F.when(F.col("rule") == "median", gold_answer(seen, "median")).when(F.col("rule") == "weighted_mean", gold_answer(seen, "weighted_mean", weights)).otherwise(mean)
+    weights, out = F.array(*map(F.lit, WEIGHTS)), mean
+    for rule in RULES:
+        if rule != "mean":
+            out = F.when(F.col("rule") == rule, gold_answer(seen, rule, weights)).otherwise(out)
+    return out
 
 
 def validate_specs(specs: DataFrame) -> DataFrame:
@@ -193,7 +209,41 @@ def export_rows(views: DataFrame, specs: DataFrame, split: str = "test") -> Data
     return got.select("item_id", "condition", "relevance", polarity.alias("anchor_polarity"), "anchor_value", "offset", "difficulty", "domain", "prompt_text", "y_star_evidence", F.lit(split).alias("split"))
 
 
-def stale_rows(released: DataFrame, built: DataFrame) -> DataFrame:
-    """Rows that only one of two releases has (side -1: released only, 1: built only), counted with repeats."""
+#: Ranges of row hashes whose digests two releases compare; a list of ranges is broadcast.
+DIGEST_RANGES = 1 << 16
+
+
+def range_digests(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(_range, n, a, b): rows of each range of row hashes, and two sums of further hashes of them, which add up over parts of a table.
+
+    Tables with equal digests hold the same rows with the same repeats (but for odds near 1 in 2 to the 128). A release can
+    keep its digests beside it, so that a later comparison reads only those.
+    """
+    columns = list(columns or df.columns)
+    hashed = [F.xxhash64(F.lit(k), *columns).cast("decimal(38,0)") for k in (1, 2)]
+    return df.groupBy(_range(columns).alias("_range")).agg(F.count("*").alias("n"), F.sum(hashed[0]).alias("a"), F.sum(hashed[1]).alias("b"))
+
+
+def _range(columns: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(DIGEST_RANGES))
+
+
+def changed_ranges(released: DataFrame, built: DataFrame) -> DataFrame:
+    """Ranges whose digests differ, DIGEST_RANGES at most."""
+    other = built.select(F.col("_range"), F.struct("n", "a", "b").alias("_other"))
+    both = released.join(other, "_range", "full")
+    return both.where(~F.struct("n", "a", "b").eqNullSafe(F.col("_other"))).select("_range")
+
+
+def stale_rows(released: DataFrame, built: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """Rows that only one of two releases has (side -1: released only, 1: built only), counted with repeats.
+
+    Both are read for digests of their ranges (``digests`` are the released side's stored ones), and only rows of ranges
+    that differ are shuffled and compared.
+    """
     columns = built.columns
-    return released.select(*columns).exceptAll(built).withColumn("side", F.lit(-1)).unionByName(built.exceptAll(released.select(*columns)).withColumn("side", F.lit(1)))
+    released = released.select(*columns)
+    ranges = F.broadcast(changed_ranges(digests if digests is not None else range_digests(released), range_digests(built)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    old, new = (df.select(whole, _range(columns).alias("_range")).join(ranges, "_range", "left_semi").select("_row.*") for df in (released, built))
+    return old.exceptAll(new).withColumn("side", F.lit(-1)).unionByName(new.exceptAll(old).withColumn("side", F.lit(1)))

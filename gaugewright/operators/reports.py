@@ -74,12 +74,17 @@ def family_means(cells: DataFrame, by: str, metrics: Sequence[str], names: Seque
 
 def experiment_cells(spark: SparkSession, models: Sequence[str], suites: Sequence[str], tiers: Sequence[str] = ("",), slots: int = 1) -> DataFrame:
     """Tier x model x suite with a running number and the slot that the model's place in its list gives it."""
-    m = spark.createDataFrame([(x, i) for i, x in enumerate(models)], "model string, _m int")
-    s = spark.createDataFrame([(x, i) for i, x in enumerate(suites)], "suite string, _s int")
-    t = spark.createDataFrame([(x, i) for i, x in enumerate(tiers)], "tier string, _t int")
-    got = t.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(s))
-    ord_ = (F.col("_t") * len(models) + F.col("_m")) * len(suites) + F.col("_s")
-    return got.select("tier", "model", "suite", F.pmod("_m", F.lit(slots)).alias("slot"), ord_.alias("ord"))
+    dims = [spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, ord long") for names in (tiers, models, suites)]
+    return cells_over(*dims, slots)
+
+
+def cells_over(tiers: DataFrame, models: DataFrame, suites: DataFrame, slots: int = 1) -> DataFrame:
+    """The same over dimension tables (name, ord from 0 without gaps); their product is the result, so none of them is large."""
+    t, m, s = (d.select(F.col("name").alias(name), F.col("ord").cast("long").alias(f"_{name}")) for d, name in ((tiers, "tier"), (models, "model"), (suites, "suite")))
+    sizes = models.agg(F.count("*").alias("_models")).crossJoin(suites.agg(F.count("*").alias("_suites")))
+    got = t.crossJoin(m).crossJoin(s).crossJoin(sizes)
+    ord_ = (F.col("_tier") * F.col("_models") + F.col("_model")) * F.col("_suites") + F.col("_suite")
+    return got.select("tier", "model", "suite", F.pmod("_model", F.lit(slots)).cast("int").alias("slot"), ord_.cast("int").alias("ord"))
 
 
 def dose_response(curves: DataFrame, by: str, low: str, high: str, level: str = "level", value: str = "uai") -> DataFrame:

@@ -78,6 +78,11 @@ def suite_specs(spark: SparkSession, suite: str, size: str = "core", seed: int =
     """A suite's items with its payload. History has no offsets and as many more items per cell instead."""
     n = n_per_cell if n_per_cell is not None else SIZES[size] * (len(OFFSETS) if suite == "history" else 1)
     grid = item_grid(spark, PREFIXES[suite], n, domains_of(domains, size), difficulties, None if suite == "history" else OFFSETS)
+    return specs_over(grid, suite, seed, rule)
+
+
+def specs_over(grid: DataFrame, suite: str, seed: int = 42, rule: str = "mean") -> DataFrame:
+    """A suite's items with its payload over a grid (``item_grid``, or ``grid_over`` the rows of a table)."""
     specs = itemspecs(grid, seed + SEEDS[suite], rule).withColumn("suite", F.lit(suite))
     return PAYLOADS.get(suite, lambda s, seed: s)(specs, seed + SEEDS[suite])
 

@@ -211,8 +211,22 @@ ORACLE_SQL: dict[str, str] = {
     "domain_balance": "SELECT max(n) AS largest, min(n) AS smallest, max(n) > 2 * min(n) AS imbalanced FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority) q",
 }
 ORACLE_SQL["parse_strategy_histogram"] = f"SELECT strategy, CAST(sum(n) AS BIGINT) AS n, count(CASE WHEN ok THEN 1 END) AS n_texts_ok FROM ({ORACLE_SQL['parse_cascade']}) q GROUP BY strategy"
-_DOMAINS = ("coffee", "electronics", "fitness", "snacks", "streaming", "travel")
-_GRID = "(SELECT d AS domain, c AS condition FROM (VALUES " + ", ".join(f"('{d}')" for d in _DOMAINS) + ") t(d), (VALUES ('control'), ('irrelevant_high'), ('irrelevant_low'), ('plausible_high'), ('plausible_low')) u(c), range(60))"
+_DOMAINS = ("snacks", "streaming", "travel", "fitness", "coffee", "electronics")
+
+
+def _turns(domains: tuple[str, ...]) -> str:
+    """Customers as items: domain and difficulty by their number from 0."""
+    names = ", ".join(f"'{d}'" for d in domains)
+    return f"(SELECT c_custkey AS idx, [{names}][c_custkey % {len(domains)} + 1] AS domain, ['easy', 'hard'][c_custkey // {len(domains)} % 2 + 1] AS difficulty FROM customer)"
+
+
+_GRID = f"(SELECT domain, condition FROM {_turns(_DOMAINS)} i, (VALUES ('control'), ('irrelevant_high'), ('irrelevant_low'), ('plausible_high'), ('plausible_low')) u(condition))"
 ORACLE_SQL["generated_errors"] = f"SELECT count(*) AS n_items, CAST(0 AS BIGINT) AS n_errors FROM {_GRID} g WHERE condition = 'control'"
 ORACLE_SQL["generated_manifest"] = f"SELECT count(*) AS n_views, count(*) // 5 AS n_items, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions, CAST(5 AS BIGINT) AS conditions_per_item FROM {_GRID} g"
 ORACLE_SQL["exported_rows"] = f"SELECT domain, condition, CASE WHEN condition = 'control' THEN 'none' ELSE split_part(condition, '_', 1) END AS relevance, 'test' AS split, count(*) AS n, count(CASE WHEN condition <> 'control' THEN 1 END) AS n_anchored, count(CASE WHEN condition <> 'control' THEN 1 END) AS n_polarity FROM {_GRID} g GROUP BY domain, condition"
+ORACLE_SQL["streamed_metrics"] = ORACLE_SQL["unified_metrics"]
+ORACLE_SQL["interval_means"] = _with(
+    "SELECT suite, model, 'mean' AS of, count(uai) AS n, round(avg(uai), 6) AS value FROM lg WHERE uai IS NOT NULL GROUP BY suite, model UNION ALL SELECT suite, model, 'r', count(*), round(corr(answer, anchor), 6) FROM lg GROUP BY suite, model", _LONG)
+ORACLE_SQL["pull_by_sql_text"] = _with(
+    "SELECT suite, model, count(uai) AS n, round(avg(uai), 6) AS uai, round(avg(CASE WHEN (answer - control) * (anchor - control) > 0 THEN 1.0 ELSE 0.0 END), 6) AS tar, round(max(CASE WHEN uai >= 1 THEN NULL WHEN uai <= 0 THEN 0.0 ELSE uai * 5 / (1 - uai) END), 6) AS weight, count(CASE WHEN abs(answer - gold) > abs(control - gold) THEN 1 END) AS n_harmful FROM lg GROUP BY suite, model", _LONG)
+ORACLE_SQL["anchor_gold_by_sql_text"] = f"WITH {_EVID}, z AS (SELECT item, v[1:5] AS f FROM vis) SELECT item, CASE WHEN len(f) > 0 THEN CAST(round_even(list_avg(f), 0) AS INTEGER) ELSE 0 END AS gold_mean, CASE WHEN len(f) > 0 THEN CAST(round_even(list_median(f), 0) AS INTEGER) ELSE 0 END AS gold_median, CASE WHEN len(f) > 0 THEN CAST(round_even(list_sum(list_transform(f, lambda x, i: x * CAST({_weights()}[i] AS DOUBLE))) / list_sum(list_transform({_weights()}[1:len(f)], lambda x: CAST(x AS DOUBLE))), 0) AS INTEGER) ELSE 0 END AS gold_weighted FROM z"

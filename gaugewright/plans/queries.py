@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..functions import text as tx
 from ..functions.influence import gold_answer
+from ..functions.registry import register_functions
 from ..operators import analysis, generation, metrics, paired, statistics
 from ..schemas import CORE, CORE_ANCHORED, TWO_STAGE
 from ..sources import adapters
+from ..session import work_path
 from ..sources.adapters import CELL
+from ..streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -376,26 +379,26 @@ def slugs(spark, sf):
     return adapters.table(spark, sf, "customer").select("c_custkey", tx.slug(F.col("c_name")).alias("slug"))
 
 
-def _specs(spark):
-    return generation.itemspecs(generation.item_grid(spark, "EXT"))
+def _specs(spark, sf):
+    return generation.itemspecs(generation.grid_over(adapters.items(spark, sf), "EXT"))
 
 
 @query
 def generated_manifest(spark, sf):
-    return generation.manifest(generation.render_views(_specs(spark)))
+    return generation.manifest(generation.render_views(_specs(spark, sf)))
 
 
 @query
 def generated_errors(spark, sf):
-    """Items and errors of freshly generated data: no errors."""
-    specs = _specs(spark)
+    """Items and errors of data generated over customers: no errors."""
+    specs = _specs(spark, sf)
     errors = generation.validate_specs(specs).unionByName(generation.validate_views(generation.render_views(specs)))
     return specs.agg(F.count("*").alias("n_items")).crossJoin(errors.agg(F.count("*").alias("n_errors")))
 
 
 @query
 def exported_rows(spark, sf):
-    specs = _specs(spark)
+    specs = _specs(spark, sf)
     rows = generation.export_rows(generation.render_views(specs), specs)
     return rows.groupBy("domain", "condition", "relevance", "split").agg(F.count("*").alias("n"), F.count("anchor_value").alias("n_anchored"), F.count("anchor_polarity").alias("n_polarity"))
 
@@ -410,3 +413,38 @@ def stale_export(spark, sf):
 @query
 def domain_balance(spark, sf):
     return generation.imbalance(adapters.table(spark, sf, "orders"), "o_orderpriority")
+
+
+@query
+def streamed_metrics(spark, sf):
+    """The metrics of cells after the order lines have arrived as a stream."""
+    out, checkpoint = work_path(spark, "streamed"), work_path(spark, "streamed-checkpoint")
+    lines = spark.readStream.schema(adapters.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    keyed.fold_on_arrival(adapters.records_of(lines, adapters.table(spark, sf, "orders")), out, CELL, checkpoint).awaitTermination()
+    return r6(keyed.folded_metrics(spark, out, CELL).select(*CELL, "n_records", "n_items", "n_uai_irr", "n_uai_plaus", *BASE_METRICS))
+
+
+@query
+def interval_means(spark, sf):
+    """Centres of the exact intervals: what SQL can say of them."""
+    long = _long(spark, sf)
+    means = statistics.bootstrap_ci(long, CELL, "uai", ["item", "condition"], n_boot=50).select(*CELL, F.lit("mean").alias("of"), "n", F.col("mean").alias("value"))
+    return r6(means.unionByName(statistics.pearson_ci(long, CELL, "answer", "anchor", ["item", "condition"], n_boot=50).select(*CELL, F.lit("r").alias("of"), "n", F.col("r").alias("value"))))
+
+
+@query
+def pull_by_sql_text(spark, sf):
+    """Pull and direction per cell by a SQL text over registered functions."""
+    register_functions(spark, "gw_")
+    _long(spark, sf).createOrReplaceTempView("gw_effects")
+    return spark.sql("""SELECT suite, model, count(gw_item_uai(answer, control, anchor)) AS n, round(avg(gw_item_uai(answer, control, anchor)), 6) AS uai,
+        round(avg(gw_toward_anchor(answer, control, anchor)), 6) AS tar, round(max(gw_implied_weight(gw_item_uai(answer, control, anchor), 5)), 6) AS weight,
+        count_if(gw_classify_shift(answer, control, gold) = 'harmful') AS n_harmful FROM gw_effects GROUP BY suite, model""")
+
+
+@query
+def anchor_gold_by_sql_text(spark, sf):
+    """Gold answers of orders' visible ratings by each registered rule."""
+    register_functions(spark, "gw_")
+    adapters.evidence(spark, sf).createOrReplaceTempView("gw_evidence")
+    return spark.sql("SELECT item, gw_gold_mean(v) AS gold_mean, gw_gold_median(v) AS gold_median, gw_gold_weighted_mean(v, array(1D, 1D, 1.5D, 1.5D, 2D)) AS gold_weighted FROM (SELECT item, slice(visible, 1, 5) AS v FROM gw_evidence)")

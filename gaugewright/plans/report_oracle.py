@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schemas import CORE_ANCHORED
-from .oracle import _COHEN, _EVID, _LONG, _SHIFT, _metrics, _pool, _with, AGG, BASE, CELL
+from .oracle import _DOMAINS, _turns, _COHEN, _EVID, _LONG, _SHIFT, _metrics, _pool, _with, AGG, BASE, CELL
 
 _W = "CASE WHEN {u} >= 1 THEN NULL WHEN {u} <= 0 THEN 0.0 ELSE {u} * 5 / (1 - {u}) END"
 _VECTOR = """vx AS (
@@ -69,6 +69,16 @@ _OWN_EFF = ", ".join(
 )
 _OWN_METRICS = ", ".join(f"{AGG[c]} AS {c}" for c in BASE)
 
+MEDICAL = ("triage", "recovery", "dosage")
+
+
+def _unbalanced(domains: tuple[str, ...]) -> str:
+    """Errors of balance of customers as items: domains, difficulties."""
+    by = f"(SELECT count(*) AS n FROM {_turns(domains)} i GROUP BY domain)"
+    level = lambda d: f"(SELECT count(*) FROM {_turns(domains)} i WHERE difficulty = '{d}')"
+    return f"CAST((SELECT CASE WHEN max(n) > 2 * min(n) THEN 1 ELSE 0 END FROM {by} q) + CASE WHEN {level('easy')} > 0 AND {level('hard')} > 0 AND {level('easy')} <> {level('hard')} THEN 1 ELSE 0 END AS BIGINT)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "tar_by_condition": _with("SELECT suite, model, " + ", ".join(f"round(avg(t_{c}), 6) AS tar_{c}" for c in CORE_ANCHORED) + " FROM it GROUP BY suite, model"),
     "metrics_over_own_baseline": _with(f"SELECT suite, domain, CAST(sum(n_records) AS BIGINT) AS n_records, {_OWN_METRICS}, CASE WHEN domain = 0 THEN 'control_twostage' ELSE 'control' END AS baseline FROM it2 GROUP BY suite, domain", _OWN_IT.format(more=_OWN_EFF)),
@@ -97,7 +107,9 @@ ORACLE_SQL: dict[str, str] = {
     "rule_change_means": _with("SELECT 'd_uai_irr' AS \"column\", round(avg(di), 6) AS mean, count(di) AS n FROM ru UNION ALL SELECT 'd_uai_plaus', round(avg(du), 6), count(du) FROM ru", *_RULE_CTES),
     "domain_families": _with("SELECT suite, model, " + ", ".join(f"round({p}{x}, 6) AS {n}_uai_{m}" for p, n in (("e", "extension"), ("b", "business"), ("m", "medical")) for x, m in (("i", "irr"), ("u", "plaus"))) + " FROM fa", *_FAMILY_CTES),
     "domain_family_means": _with(" UNION ALL ".join(f"SELECT suite, 'uai_{m}' AS metric, '{n}' AS family, round(avg({p}{x}), 6) AS mean, count({p}{x}) AS n FROM fa GROUP BY suite" for p, n in (("e", "extension"), ("b", "business"), ("m", "medical")) for x, m in (("i", "irr"), ("u", "plaus"))), *_FAMILY_CTES),
-    "experiment_cells": "SELECT tier, model, suite, CAST(m % 2 AS INTEGER) AS slot, CAST((t * 3 + m) * 2 + s AS INTEGER) AS ord FROM (VALUES ('open', 0), ('closed', 1)) a(tier, t), (VALUES ('m1', 0), ('m2', 1), ('m3', 2)) b(model, m), (VALUES ('external', 0), ('rag', 1)) c(suite, s)",
+    "experiment_cells": """WITH t AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS ord FROM (SELECT DISTINCT r_name AS name FROM region) q),
+m AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS ord FROM (SELECT DISTINCT s_name AS name FROM supplier) q), s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS ord FROM (SELECT DISTINCT c_mktsegment AS name FROM customer) q)
+SELECT t.name AS tier, m.name AS model, s.name AS suite, CAST(m.ord % 2 AS INTEGER) AS slot, CAST((t.ord * (SELECT count(*) FROM m) + m.ord) * (SELECT count(*) FROM s) + s.ord AS INTEGER) AS ord FROM t, m, s""",
     "panel_summaries": _with("SELECT p.model, p.suite, round(u, 6) AS uai_plaus FROM (SELECT model, suite FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) a(model), (VALUES ('F'), ('O'), ('X')) b(suite)) p LEFT JOIN bd ON bd.model = p.model AND bd.suite = p.suite", _BOUNDS),
     "placebo_bias": _with("SELECT suite, count(CASE WHEN m > 0.05 THEN 1 END) AS n_over, count(*) AS n FROM (SELECT suite, model, avg(CASE WHEN grp = 'placebo' THEN uai END) AS m FROM vv GROUP BY suite, model) q GROUP BY suite", _VECTOR),
     "mean_effect_size": _with("SELECT suite, round(avg(abs(d_z)), 6) AS mean_abs_d, count(d_z) AS n FROM f GROUP BY suite", _COHEN),
@@ -123,9 +135,9 @@ ORACLE_SQL: dict[str, str] = {
         "c1 AS (SELECT suite, model, item, domain, abs(a_plausible_high - y) - abs(a_irrelevant_high - y) AS margin, abs(a_plausible_high - y) * (1 + (abs(a_plausible_high - y) - abs(a_irrelevant_high - y)) / 30.0::DOUBLE) AS score FROM it)",
         "c2 AS (SELECT *, row_number() OVER (PARTITION BY suite, model, domain ORDER BY score DESC, item) AS dr FROM c1 WHERE margin > 0)",
     ),
-    "suite_manifests": "SELECT suite, CAST(360 AS BIGINT) AS n_items, CAST(360 * k AS BIGINT) AS n_views, CAST(k AS BIGINT) AS conditions_per_item, 'coffee,electronics,fitness,snacks,streaming,travel' AS domains FROM (VALUES ('external', 9), ('history', 6), ('icl', 7), ('icl_dist', 5), ('rag', 17), ('tool', 5)) t(suite, k)",
-    "suite_errors": "SELECT suite, CAST(0 AS BIGINT) AS n_errors FROM (VALUES ('external'), ('history'), ('icl'), ('icl_dist'), ('rag'), ('tool')) t(suite)",
-    "medical_weighted_manifest": "SELECT CAST(810 AS BIGINT) AS n_views, CAST(90 AS BIGINT) AS n_items, 'dosage,recovery,triage' AS domains, 'authority_high,authority_low,control,irrelevant_high,irrelevant_low,placebo_high,placebo_low,plausible_high,plausible_low' AS conditions, CAST(9 AS BIGINT) AS conditions_per_item, CAST(0 AS BIGINT) AS n_errors",
+    "suite_manifests": f"SELECT suite, n AS n_items, n * k AS n_views, CAST(k AS BIGINT) AS conditions_per_item, domains FROM (SELECT count(*) AS n, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM {_turns(_DOMAINS)} i) q, (VALUES ('external', 9), ('history', 6), ('icl', 7), ('icl_dist', 5), ('rag', 17), ('tool', 5)) t(suite, k)",
+    "suite_errors": f"SELECT suite, {_unbalanced(_DOMAINS)} AS n_errors FROM (VALUES ('external'), ('history'), ('icl'), ('icl_dist'), ('rag'), ('tool')) t(suite)",
+    "medical_weighted_manifest": f"SELECT count(*) * 9 AS n_views, count(*) AS n_items, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, 'authority_high,authority_low,control,irrelevant_high,irrelevant_low,placebo_high,placebo_low,plausible_high,plausible_low' AS conditions, CAST(9 AS BIGINT) AS conditions_per_item, {_unbalanced(MEDICAL)} AS n_errors FROM {_turns(MEDICAL)} i",
     "variant_views": """WITH dirs AS (SELECT * FROM (VALUES ('low'), ('high')) t(d)), rels AS (SELECT * FROM (VALUES ('plausible'), ('irrelevant')) t(r)),
 c AS (
   SELECT 'rag_realism' AS kind, r || '_' || d || v AS condition, true AS anchored FROM rels, dirs, (VALUES ('_rank1'), ('_rank5'), ('_rank5_distract')) t(v)
@@ -133,13 +145,20 @@ c AS (
   UNION ALL SELECT 'tool_realism', r || '_' || d || v, true FROM rels, dirs, (VALUES ('_elicited'), ('_noisy')) t(v)
   UNION ALL SELECT 'uncertain', 'uncertain_p' || p || '_' || r || '_' || d, true FROM rels, dirs, range(1, 4) t(p)
   UNION ALL SELECT 'uncertain', 'uncertain_p' || p || '_control', false FROM range(1, 4) t(p))
-SELECT condition, CAST(180 AS BIGINT) AS n, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_anchored, CAST(CASE WHEN anchored THEN 180 ELSE 0 END AS BIGINT) AS n_marked, CAST(180 AS BIGINT) AS n_items, kind FROM c""",
-    "rag_corpus": "SELECT doc_type, relevance, CAST(360 * k AS BIGINT) AS n, CAST(360 * k AS BIGINT) AS n_ids, CAST(CASE WHEN a THEN 360 * k ELSE 0 END AS BIGINT) AS n_anchored, CAST(360 * k AS BIGINT) AS n_texts FROM (VALUES ('core', 'none', 1, false), ('filler', 'none', 1, false), ('anchor_slot', 'none', 1, false), ('anchor_slot', 'irrelevant', 4, true), ('anchor_slot', 'plausible', 2, true), ('anchor_slot', 'authority', 2, true)) t(doc_type, relevance, k, a)",
-    "tool_message_counts": "SELECT r || '_' || d || '_' || v AS condition, role, CAST(180 * k AS BIGINT) AS n, CAST(CASE WHEN role = 'assistant' THEN 360 ELSE 0 END AS BIGINT) AS n_calls, CAST(CASE WHEN role = 'assistant' AND v = 'noisy' THEN 0 ELSE 180 * k END AS BIGINT) AS n_contents FROM (VALUES ('plausible'), ('irrelevant')) a(r), (VALUES ('low'), ('high')) b(d), (VALUES ('elicited'), ('noisy')) c(v), (VALUES ('system', 1), ('user', 1), ('assistant', 2), ('tool', 2)) e(role, k)",
+SELECT condition, i AS n, CASE WHEN anchored THEN i ELSE 0 END AS n_anchored, CASE WHEN anchored THEN i ELSE 0 END AS n_marked, i AS n_items, kind FROM c, (SELECT count(*) AS i FROM customer) q""",
+    "rag_corpus": "SELECT doc_type, relevance, i * k AS n, i * k AS n_ids, CASE WHEN a THEN i * k ELSE 0 END AS n_anchored, i * k AS n_texts FROM (SELECT count(*) AS i FROM customer) q, (VALUES ('core', 'none', 1, false), ('filler', 'none', 1, false), ('anchor_slot', 'none', 1, false), ('anchor_slot', 'irrelevant', 4, true), ('anchor_slot', 'plausible', 2, true), ('anchor_slot', 'authority', 2, true)) t(doc_type, relevance, k, a)",
+    "tool_message_counts": "SELECT r || '_' || d || '_' || v AS condition, role, i * k AS n, CASE WHEN role = 'assistant' THEN 2 * i ELSE 0 END AS n_calls, CASE WHEN role = 'assistant' AND v = 'noisy' THEN 0 ELSE i * k END AS n_contents FROM (SELECT count(*) AS i FROM customer) q, (VALUES ('plausible'), ('irrelevant')) a(r), (VALUES ('low'), ('high')) b(d), (VALUES ('elicited'), ('noisy')) c(v), (VALUES ('system', 1), ('user', 1), ('assistant', 2), ('tool', 2)) e(role, k)",
     "subset_of_five": f"""WITH {_EVID}, f AS (SELECT item, every_one[1:5] AS v FROM ev WHERE len(every_one) >= 5),
 pr AS (SELECT item, i, j, list_filter([v[i + 1], v[j + 1]], lambda x: x IS NOT NULL) AS s FROM f, (SELECT a.range AS i, b.range AS j FROM range(5) a, range(5) b WHERE a.range < b.range) q),
 m AS (SELECT item, i, j, CASE WHEN len(s) > 0 THEN list_sum(s)::DOUBLE / len(s) ELSE 0 END AS mean FROM pr)
 SELECT item, round(abs(mean - 20), 6) AS gap, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(mean, 6) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY item ORDER BY abs(mean - 20), i, j) = 1""",
+    "item_set_errors": """WITH i AS (SELECT o_orderstatus || '-' || o_custkey || '-' || o_orderpriority AS item_id, o_orderstatus AS suite, o_orderpriority AS domain, o_custkey % 3 AS lv, o_orderkey AS ok, o_custkey AS ck FROM orders),
+s AS (SELECT suite, count(*) AS n, count(CASE WHEN lv = 0 THEN 1 END) AS e, count(CASE WHEN lv = 2 THEN 1 END) AS h, count(DISTINCT ok % 3) AS sc, count(DISTINCT 2 * ok % 2) AS qu, count(DISTINCT ck % 2) AS la FROM i GROUP BY suite),
+u AS (SELECT suite FROM (SELECT suite, domain, count(*) AS n FROM i GROUP BY suite, domain) q GROUP BY suite HAVING max(n) > 2 * min(n))
+SELECT 'item' AS scope, item_id AS key, 'item repeated' AS error FROM i GROUP BY item_id HAVING count(*) > 1
+UNION ALL SELECT 'suite', suite, 'domains uneven' FROM u UNION ALL SELECT 'suite', suite, 'difficulties uneven' FROM s WHERE e > 0 AND h > 0 AND e <> h
+UNION ALL SELECT 'suite', suite, 'one scenario for all' FROM s WHERE n >= 4 AND sc = 1 UNION ALL SELECT 'suite', suite, 'one question for all' FROM s WHERE n >= 4 AND qu = 1
+UNION ALL SELECT 'suite', suite, 'one label for all' FROM s WHERE n >= 6 AND la = 1 UNION ALL SELECT 'suite', suite, 'one phrasing for all' FROM s WHERE n >= 8 AND la = 1""",
     "balance_checks": "SELECT suite, max(n) > 2 * min(n) AS uneven, max(n) AS largest, min(n) AS smallest FROM (SELECT o_orderstatus AS suite, o_orderpriority AS domain, count(*) AS n FROM orders GROUP BY ALL) q GROUP BY suite",
 }
 

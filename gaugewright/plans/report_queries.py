@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.influence import implied_weight
-from ..operators import analysis, checks, extended, metrics, paired, reports, statistics, suites
+from ..operators import analysis, checks, extended, generation, metrics, paired, reports, statistics, suites
 from ..operators.generation import manifest
-from ..schemas import CORE, CORE_ANCHORED, TWO_STAGE
+from ..schemas import CORE, CORE_ANCHORED, OFFSETS, TWO_STAGE
 from ..sources import adapters
 from ..sources.adapters import CELL
 from .queries import BASE_METRICS, _cells, _effect_sizes, _items, _long, query, r6
@@ -159,7 +160,9 @@ def domain_family_means(spark, sf):
 
 @query
 def experiment_cells(spark, sf):
-    return reports.experiment_cells(spark, ["m1", "m2", "m3"], ["external", "rag"], ["open", "closed"], 2)
+    """Regions as tiers, suppliers as models, market segments as suites, in the order of their names."""
+    named = lambda t, c: adapters.table(spark, sf, t).select(F.col(c).alias("name")).distinct().withColumn("ord", F.row_number().over(W.orderBy("name")) - 1)
+    return reports.cells_over(named("region", "r_name"), named("supplier", "s_name"), named("customer", "c_mktsegment"), 2)
 
 
 @query
@@ -271,27 +274,33 @@ def case_study_texts(spark, sf):
 SUITE_NAMES = ("external", "history", "icl", "icl_dist", "rag", "tool")
 
 
-def _suite(spark, name, **more):
-    specs = suites.suite_specs(spark, name, **more)
+def _suite_specs(spark, sf, name, domains="business", rule="mean"):
+    """A suite's items over customers."""
+    grid = generation.grid_over(adapters.items(spark, sf), suites.PREFIXES[name], suites.domains_of(domains), offsets=None if name == "history" else OFFSETS)
+    return suites.specs_over(grid, name, rule=rule)
+
+
+def _suite(spark, sf, name, **more):
+    specs = _suite_specs(spark, sf, name, **more)
     return specs, suites.suite_views(specs, name)
 
 
 @query
 def suite_manifests(spark, sf):
-    """Counts of every suite at full size."""
+    """Counts of every suite over customers as items."""
     out = None
     for name in SUITE_NAMES:
-        one = manifest(_suite(spark, name)[1]).select(F.lit(name).alias("suite"), "n_items", "n_views", "conditions_per_item", "domains")
+        one = manifest(_suite(spark, sf, name)[1]).select(F.lit(name).alias("suite"), "n_items", "n_views", "conditions_per_item", "domains")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query
 def suite_errors(spark, sf):
-    """Errors of every suite, freshly generated: none."""
+    """Errors of every suite over customers: none but of balance."""
     out = None
     for name in SUITE_NAMES:
-        specs, views = _suite(spark, name, size="pilot")
+        specs, views = _suite(spark, sf, name)
         one = checks.validate_suite(specs, views, name, manifest(views)).agg(F.count("*").alias("n_errors")).withColumn("suite", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -299,7 +308,7 @@ def suite_errors(spark, sf):
 
 @query
 def medical_weighted_manifest(spark, sf):
-    specs, views = _suite(spark, "external", domains="medical", size="pilot", rule="weighted_mean")
+    specs, views = _suite(spark, sf, "external", domains="medical", rule="weighted_mean")
     return manifest(views).crossJoin(checks.validate_suite(specs, views, "external").agg(F.count("*").alias("n_errors")))
 
 
@@ -308,7 +317,7 @@ def variant_views(spark, sf):
     """Views of the realism, intensity and partial-evidence variants."""
     out = None
     for kind, (suite, _) in suites.VARIANTS.items():
-        v = suites.suite_views(suites.suite_specs(spark, suite, "pilot"), kind)
+        v = suites.suite_views(_suite_specs(spark, sf, suite), kind)
         one = v.groupBy("condition").agg(F.count("*").alias("n"), F.count("anchor_value").alias("n_anchored"), F.count("anchor_start").alias("n_marked"), F.count_distinct("item_id").alias("n_items")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
@@ -317,14 +326,14 @@ def variant_views(spark, sf):
 @query
 def rag_corpus(spark, sf):
     """The retrieval corpus of all items by type and relevance."""
-    specs, views = _suite(spark, "rag")
+    specs, views = _suite(spark, sf, "rag")
     docs = suites.rag_corpus(views, specs, suites.templates(spark))
     return docs.groupBy("doc_type", "relevance").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.count("anchor_value").alias("n_anchored"), F.count("text").alias("n_texts"))
 
 
 @query
 def tool_message_counts(spark, sf):
-    specs = suites.suite_specs(spark, "tool", "pilot")
+    specs = _suite_specs(spark, sf, "tool")
     m = suites.tool_messages(suites.suite_views(specs, "tool_realism")).select("condition", F.explode("messages").alias("m"))
     return m.groupBy("condition", "m.role").agg(F.count("*").alias("n"), F.count("m.tool").alias("n_calls"), F.count("m.content").alias("n_contents"))
 
@@ -349,3 +358,15 @@ def balance_checks(spark, sf):
     o = adapters.table(spark, sf, "orders")
     sizes = o.groupBy(F.col("o_orderstatus").alias("suite"), F.col("o_orderpriority").alias("domain")).count()
     return sizes.groupBy("suite").agg((F.max("count") > 2 * F.min("count")).alias("uneven"), F.max("count").alias("largest"), F.min("count").alias("smallest"))
+
+
+@query
+def item_set_errors(spark, sf):
+    """The checks of whole suites over orders as items: items that repeat, uneven domains and difficulties, indices that never vary."""
+    o = adapters.table(spark, sf, "orders")
+    level = F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (F.col("o_custkey") % 3 + 1).cast("int"))
+    specs = o.select(
+        F.concat_ws("-", "o_orderstatus", "o_custkey", "o_orderpriority").alias("item_id"), F.col("o_orderstatus").alias("suite"), F.col("o_orderpriority").alias("domain"), level.alias("difficulty"),
+        F.col("o_orderkey").alias("scenario_idx"), (F.col("o_orderkey") * 2).alias("question_idx"), F.col("o_custkey").alias("label_idx"), F.col("o_custkey").alias("phrasing_idx"),
+    )
+    return checks.set_errors(specs)

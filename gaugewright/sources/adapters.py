@@ -16,7 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as evaluation records: orders are items, line numbers conditions; later lines repeat earlier ones."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return records_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def records_of(li: DataFrame, o: DataFrame) -> DataFrame:
+    """Records of lines (a table or a stream) and their orders."""
     names = F.array(*map(F.lit, LINE_CONDITIONS))
     condition = F.element_at(names, F.col("l_linenumber"))
     item = o.select(
@@ -43,6 +47,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(item, "item")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as items to generate, numbered by their keys (from 0)."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("global_idx"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as answers of daily runs: users are items, event types conditions."""
     e = table(spark, sf_dir, "events")

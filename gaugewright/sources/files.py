@@ -68,6 +68,12 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     df.write.option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Finished records as a table hashed and sorted by ``keys``: joins on exactly these keys and groupings by them and more read it without a shuffle. Replaces the table."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_results(spark: SparkSession, base: str, suites: Sequence[str] | None = None, schema: str = RECORDS) -> DataFrame:
     """Records of a tree ``<base>/<suite>/<slug>[/<variant>]/results.jsonl`` with suite, slug and variant from the path.
 
