@@ -9,12 +9,10 @@ differences; ``compact`` folds old batches into one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +25,7 @@ KEPT = (CONTROL, *CORE_ANCHORED)
 #: Sums of a cell: counts of rows and items, errors of the control, pull and direction of each anchored condition.
 COUNTS = ("n_records", "n_items", "n_answered", "n_error", "within10", *(f"n_{p}_{c}" for p in ("uai", "tar") for c in CORE_ANCHORED))
 TOTALS = ("error", *(f"{p}_{c}" for p in ("uai", "tar") for c in CORE_ANCHORED))
+_PLACE = {c: k for k, c in enumerate(KEPT)}
 _LAST = ("pos", "answer", "anchor", "gold")
 _STATE = "n_records long, n_answered long, has_parsed boolean, " + ", ".join(f"{x} array<long>" for x in _LAST)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,10 +53,6 @@ def item_sums(state: tuple | None, epsilon: float = EPSILON) -> dict[str, float]
     return out
 
 
-def _number(x: Any) -> int | None:
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NA else int(x)
-
-
 class ItemFold(StatefulProcessor):
     """Folds an item's rows into its state and gives the difference that they make to its cell's sums."""
 
@@ -67,27 +62,24 @@ class ItemFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("item", _STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        old = tuple(self.state.get()) if self.state.exists() else None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.state.get()
         n_records, n_answered, has_parsed, *last = old or (0, 0, False, *([None] * len(KEPT) for _ in _LAST))
         last = [list(x) for x in last]
-        for pdf in rows:
-            n_records += len(pdf)
-            for condition, ok, *values in zip(pdf["condition"], pdf["parsed_ok"], *(pdf[x] for x in _LAST)):
-                if ok is None or pd.isna(ok) or not ok:
-                    continue
-                pos, answer, anchor, gold = map(_number, values)
-                has_parsed = True
-                n_answered += answer is not None
-                if condition in KEPT and pos is not None:
-                    k = KEPT.index(condition)
-                    if last[0][k] is None or pos >= last[0][k]:
-                        for own, value in zip(last, (pos, answer, anchor, gold)):
-                            own[k] = value
+        for row in rows:
+            n_records += 1
+            if not row["parsed_ok"]:
+                continue
+            has_parsed = True
+            n_answered += row["answer"] is not None
+            pos, k = row["pos"], _PLACE.get(row["condition"])
+            if k is not None and pos is not None and (last[0][k] is None or pos >= last[0][k]):
+                for own, x in zip(last, _LAST):
+                    own[k] = row[x]
         new = (n_records, n_answered, has_parsed, *last)
         self.state.update(new)
         before, after = item_sums(old, self.epsilon), item_sums(new, self.epsilon)
-        yield pd.DataFrame([[*key[: len(self.cell)], *(after[x] - before[x] for x in (*COUNTS, *TOTALS))]], columns=[*self.cell, *COUNTS, *TOTALS])
+        yield Row(*self.cell, *COUNTS, *TOTALS)(*key[: len(self.cell)], *(after[x] - before[x] for x in COUNTS), *(float(after[x] - before[x]) for x in TOTALS))
 
     def close(self) -> None:
         pass
@@ -99,7 +91,7 @@ def cell_differences(stream: DataFrame, cell: Sequence[str], epsilon: float = EP
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = stream.select(*cell, "item", "condition", "parsed_ok", *[F.col(x).cast("long") for x in _LAST])
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cell).schema.fields), *(f"{x} long" for x in COUNTS), *(f"{x} double" for x in TOTALS)])
-    return rows.groupBy(*cell, "item").transformWithStateInPandas(ItemFold(cell, epsilon), fields, "Append", "None")
+    return rows.groupBy(*cell, "item").transformWithState(ItemFold(cell, epsilon), fields, "Append", "None")
 
 
 def fold_on_arrival(stream: DataFrame, out: str, cell: Sequence[str], checkpoint: str, dedup: Sequence[str] = (), watermark: tuple[str, str] | None = None, epsilon: float = EPSILON) -> StreamingQuery:
