@@ -14,20 +14,30 @@ from pyspark.sql import Window as W
 
 from ..functions.influence import direction_of, item_uai, relevance_of
 from ..schemas import CONTROL, EPSILON, RELEVANCES, TWO_STAGE
+from ..session import written
 from .statistics import BOOT, SEED, bh_adjust, bootstrap_ci, wilcoxon
 
 ORDER = ["item", "direction", "condition"]
 
 
+def last_answers(records: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """(cell, item, condition, answer, anchor, gold, pos) of each last parsed row, all of an item's in one partition."""
+    key = [*cell, "item"]
+    rows = records.where("parsed_ok").select(*key, "condition", "answer", "anchor", "gold", "pos").repartition(*key)
+    return rows.groupBy(*key, "condition").agg(*[F.max_by(c, "pos").alias(c) for c in ("answer", "anchor", "gold")], F.max("pos").alias("pos"))
+
+
 def uai_vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, merge: bool = False) -> DataFrame:
     """(cell, grp, item, direction, condition, uai): pull of every anchored condition against its item's baseline answer.
 
     The group is the condition's relevance. ``merge`` keeps one value per (group, item, direction), that of the condition
     with the latest record, as sets of variants (mild, strong, ordered) share a direction. One shuffle by cell and item.
     """
+    return _pulls(last_answers(records.withColumn("gold", F.lit(None).cast("int")), cell), cell, baseline, epsilon, merge)
+
+
+def _pulls(last: DataFrame, cell: Sequence[str], baseline: str, epsilon: float, merge: bool) -> DataFrame:
     key = [*cell, "item"]
-    rows = records.where("parsed_ok").select(*key, "condition", "answer", "anchor", "pos").repartition(*key)
-    last = rows.groupBy(*key, "condition").agg(F.max_by("answer", "pos").alias("answer"), F.max_by("anchor", "pos").alias("anchor"), F.max("pos").alias("pos"))
     control = F.max(F.when(F.col("condition") == baseline, F.col("answer"))).over(W.partitionBy(*key))
     grp = relevance_of(F.col("condition"))
     got = last.withColumn("control", control).where(grp.isNotNull()).withColumns({"grp": grp, "direction": direction_of(F.col("condition"))})
@@ -41,13 +51,16 @@ def uai_vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL
 def vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON) -> DataFrame:
     """(cell, vector, item, direction, condition, value): ``uai_<group>``, ``disc_delta`` (plausible less irrelevant pull of
     an item and direction) and ``mae`` (the baseline's errors)."""
-    uai = uai_vectors(records, cell, baseline, epsilon, merge=True)
+    return _vectors(last_answers(records, cell), cell, baseline, epsilon)
+
+
+def _vectors(last: DataFrame, cell: Sequence[str], baseline: str, epsilon: float) -> DataFrame:
+    uai = _pulls(last, cell, baseline, epsilon, merge=True)
     pulls = uai.select(*cell, F.concat(F.lit("uai_"), F.col("grp")).alias("vector"), *ORDER, F.col("uai").alias("value"))
     side = {g: F.max(F.when(F.col("grp") == g, F.col("uai"))) for g in ("plausible", "irrelevant")}
     pairs = uai.groupBy(*cell, "item", "direction").agg((side["plausible"] - side["irrelevant"]).alias("value")).where("value is not null")
     pairs = pairs.select(*cell, F.lit("disc_delta").alias("vector"), "item", "direction", F.lit("").alias("condition"), "value")
-    answered = records.where(F.col("parsed_ok") & (F.col("condition") == baseline))
-    errors = answered.groupBy(*cell, "item").agg(F.max_by(F.abs(F.col("answer") - F.col("gold")), "pos").cast("double").alias("value"))
+    errors = last.where(F.col("condition") == baseline).withColumn("value", F.abs(F.col("answer") - F.col("gold")).cast("double"))
     errors = errors.select(*cell, F.lit("mae").alias("vector"), "item", F.lit("").alias("direction"), F.lit(baseline).alias("condition"), "value")
     return pulls.unionByName(pairs).unionByName(errors.where("value is not null"))
 
@@ -70,12 +83,15 @@ def intervals(vecs: DataFrame, cell: Sequence[str], n_boot: int = BOOT, seed: in
 def extended_metrics(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, n_boot: int = BOOT, seed: int = SEED, method: str = "exact") -> DataFrame:
     """Per cell and vector: n, ci, p and p_bh; vectors against the two-stage control end in ``_ts`` where it isn't the baseline.
 
-    A vector without values has no row; a cell without a two-stage control has no ``_ts`` rows.
+    A vector without values has no row; a cell without a two-stage control has no ``_ts`` rows. Records are read once: the
+    last answers and the vectors are written tables, which tests and intervals share.
     """
-    vecs = vectors(records, cell, baseline, epsilon)
+    last = written(last_answers(records, cell), "last-answers")
+    vecs = _vectors(last, cell, baseline, epsilon)
     if baseline != TWO_STAGE:
-        ts = uai_vectors(records, cell, TWO_STAGE, epsilon, merge=True)
+        ts = _pulls(last, cell, TWO_STAGE, epsilon, merge=True)
         vecs = vecs.unionByName(ts.select(*cell, F.concat(F.lit("uai_"), F.col("grp"), F.lit("_ts")).alias("vector"), *ORDER, F.col("uai").alias("value")))
+    vecs = written(vecs, "vectors")
     tested = paired_tests(vecs.where(~F.col("vector").endswith("_ts")), cell).drop("n")
     return intervals(vecs, cell, n_boot, seed, method).join(tested, [*cell, "vector"], "left")
 

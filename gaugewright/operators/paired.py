@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.influence import item_uai, toward_anchor
 from ..schemas import CONTROL, CORE_ANCHORED, EPSILON, TWO_STAGE
+from ..session import written
 from ..sources.files import require
 
 
@@ -95,12 +96,14 @@ def prepare_items(views: DataFrame, specs: DataFrame, required: Sequence[str], a
     return got.where(require(F.col("_known"), F.concat(F.lit("no spec for "), "item_id"))).select("item_id", "_a.*", "spec")
 
 
-def with_baseline(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL, strict: bool = False) -> DataFrame:
+def with_baseline(records: DataFrame, cell: Sequence[str], prefer: str = CONTROL, strict: bool = False, stored: bool = False) -> DataFrame:
     """Records whose ``condition`` says ``control`` where it is their cell's baseline (``baseline`` keeps its name).
 
     The other control keeps its place as ``control_twostage`` if it was chosen against, so metrics over ``control`` are
-    metrics over each cell's own baseline. ``strict``: a cell without either control is an error.
+    metrics over each cell's own baseline. ``strict``: a cell without either control is an error. ``stored`` writes the
+    records first: what they come from (a join, a parse) then runs once and not for the choice and the rows each.
     """
+    records = written(records, "own-baseline") if stored else records
     chosen = baseline_choice(records, cell, prefer, strict)
     rows = records.join(chosen, list(cell))
     name = F.when(F.col("condition") == F.col("baseline"), CONTROL).when((F.col("condition") == CONTROL) & (F.col("baseline") != CONTROL), TWO_STAGE).otherwise(F.col("condition"))

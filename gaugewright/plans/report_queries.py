@@ -24,7 +24,7 @@ def metrics_over_own_baseline(spark, sf):
     """Metrics of cells (suite, domain) over their own baseline; domain 0 has lost its plain control."""
     rows = adapters.records(spark, sf).where("not (domain = 0 and condition = 'control')")
     cell = ["suite", "domain"]
-    own = paired.with_baseline(rows, cell)
+    own = paired.with_baseline(rows, cell, stored=True)
     return r6(metrics.unified_metrics(own, cell).select(*cell, "n_records", *BASE_METRICS).join(own.select(*cell, "baseline").distinct(), cell))
 
 
