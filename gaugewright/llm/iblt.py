@@ -34,7 +34,11 @@ RANGES_PER_PARTITION, MAX_RANGES = 4, 65_536
 def paragraph_digests(text: Column, words: int = PARAGRAPH_WORDS) -> Column:
     """Distinct 64-bit digests of a text's paragraphs; null, empty and blank texts have none."""
     pieces = F.regexp_extract_all(text, F.lit(rf"\S++(?:[ \t]++\S++){{0,{words - 1}}}+"), F.lit(0))
-    return F.coalesce(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), F.array().cast("array<bigint>"))
+    return F.coalesce(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), _none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def _let(value: Column, body) -> Column:
@@ -66,7 +70,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, level: int) -> Column:
-    """Of a difference of sketches: (ok, plus, minus), whether all cells came empty, and how many digests each side had alone."""
+    """Of a difference of sketches: (ok, plus, minus), whether all cells came empty, and the digests that each side had alone."""
 
     def pure(x: Column) -> Column:
         return (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"], F.lit(level)) == x["h"])
@@ -76,8 +80,8 @@ def peel(cells: Column, level: int) -> Column:
             return F.aggregate(F.filter(s["found"], lambda p: p["h"].bitwiseAND(x["m"]) == x["v"]), x, lambda c, p: _merged(c, -p["n"], p))
 
         left = F.transform(s["cells"], without)
-        gone = F.size(F.filter(s["found"], lambda p: p["n"] > 0))
-        return F.struct(left.alias("cells"), (s["plus"] + gone).alias("plus"), (s["minus"] + F.size(s["found"]) - gone).alias("minus"), F.lit(True).alias("on"))
+        plus, minus = (F.transform(F.filter(s["found"], alone), lambda p: p["k"]) for alone in (lambda p: p["n"] > 0, lambda p: p["n"] < 0))
+        return F.struct(left.alias("cells"), F.concat(s["plus"], plus).alias("plus"), F.concat(s["minus"], minus).alias("minus"), F.lit(True).alias("on"))
 
     def found(s: Column) -> Column:
         # one digest may be alone in several cells: it is taken once
@@ -91,15 +95,15 @@ def peel(cells: Column, level: int) -> Column:
     def stopped(s: Column) -> Column:
         return F.struct(s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"), F.lit(False).alias("on"))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"), F.lit(True).alias("on"))
+    start = F.struct(cells.alias("cells"), _none().alias("plus"), _none().alias("minus"), F.lit(True).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, one_round, lambda s: F.struct((~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
 def _attempt(a: Column, b: Column, level: int) -> Column:
     """One table for the digests of both sides: ok, plus, minus, and the sides if it failed."""
-    kept = F.array().cast("array<bigint>")
+    none = _none()
     done = peel(subtract(sketch(_hashed(a, level)), sketch(_hashed(b, level))), level)
-    return _let(done, lambda d: F.struct(d["ok"].alias("ok"), F.when(d["ok"], d["plus"]).otherwise(0).alias("plus"), F.when(d["ok"], d["minus"]).otherwise(0).alias("minus"), F.when(d["ok"], kept).otherwise(a).alias("a"), F.when(d["ok"], kept).otherwise(b).alias("b")))
+    return _let(done, lambda d: F.struct(d["ok"].alias("ok"), F.when(d["ok"], d["plus"]).otherwise(none).alias("plus"), F.when(d["ok"], d["minus"]).otherwise(none).alias("minus"), F.when(d["ok"], none).otherwise(a).alias("a"), F.when(d["ok"], none).otherwise(b).alias("b")))
 
 
 def _larger(a: Column, b: Column, level: int) -> Column:
@@ -119,22 +123,22 @@ def _larger(a: Column, b: Column, level: int) -> Column:
 
 
 def _retried(df: DataFrame, name: str, levels: range) -> DataFrame:
-    """Replace the attempts in array column ``name`` that failed by larger ones, level by level; successes are summed up."""
+    """Replace the attempts in array column ``name`` that failed by larger ones, level by level; successes are put together."""
     for level in levels:
         again = F.flatten(F.transform(F.filter(name, lambda x: ~x["ok"]), lambda x: _larger(x["a"], x["b"], level)))
         df = df.withColumn("_again", again).withColumn(name, F.concat(_settled(name), "_again")).drop("_again")
     return df.withColumn(name, F.concat(_settled(name), F.filter(name, lambda x: ~x["ok"])))
 
 
-def _adding(side: str):
-    return lambda s, x: s + x[side]
+def _recovered(attempts: Column, side: str) -> Column:
+    """The digests that attempts recovered on one side (none where they failed)."""
+    return F.flatten(F.transform(attempts, lambda x: x[side]))
 
 
 def _settled(name: str) -> Column:
     """The successful attempts as one."""
-    none = F.array().cast("array<bigint>")
-    total = [F.aggregate(F.filter(name, lambda x: x["ok"]), F.lit(0), _adding(side)).alias(side) for side in ("plus", "minus")]
-    return F.array(F.struct(F.lit(True).alias("ok"), *total, none.alias("a"), none.alias("b")))
+    done = F.filter(name, lambda x: x["ok"])
+    return F.array(F.struct(F.lit(True).alias("ok"), *[_recovered(done, side).alias(side) for side in ("plus", "minus")], _none().alias("a"), _none().alias("b")))
 
 
 def _packed(cells: Column) -> Column:
@@ -176,31 +180,32 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     return rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_copy = 0").drop("_copy", "_range")
 
 
-def fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Replace digest columns by sketches, and add each pair's counts of digests that one side has alone.
+def fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]], recover: bool = False) -> DataFrame:
+    """Replace digest columns by sketches, and add how many digests each side of a pair has alone, and those digests if asked.
 
     ``pairs`` maps a name to two digest columns. Added: ``<column>_sketch`` (binary), ``<column>_n``, and for each pair
-    ``<name>_plus`` and ``<name>_minus``. The digest columns go; columns of the new names are replaced, all other names are
+    ``<name>_plus`` and ``<name>_minus``; with ``recover`` also the recovered digests themselves, sorted, in
+    ``<name>_plus_digests`` and ``<name>_minus_digests``. The digest columns go; columns of the new names are replaced, all other names are
     free. Written to the shared folder; rows are neither lost nor made, and a null list of digests is empty.
     """
     sides = list(dict.fromkeys(c for p in pairs.values() for c in p))
-    new = {*(f"{c}_{x}" for c in sides for x in ("sketch", "n")), *(f"{n}_{x}" for n in pairs for x in ("plus", "minus"))}
+    new = {*(f"{c}_{x}" for c in sides for x in ("sketch", "n")), *(f"{n}_{x}{end}" for n in pairs for x in ("plus", "minus") for end in ("", "_digests"))}
     kept = [F.col(f"`{c}`") for c in df.columns if c not in sides and c not in new]
     digests = [F.coalesce(F.col(c), F.array().cast("array<bigint>")).alias(c) for c in sides]
     df, rest = df.select(F.struct(*kept, F.lit(None).alias("_end")).alias("_doc"), *digests), ["_doc"]
     for c in sides:
         df = df.withColumn(f"{c}_cells", sketch(_hashed(F.col(c), 0)))
-    none = F.array().cast("array<bigint>")
+    none = _none()
     for name, (a, b) in pairs.items():
         df = df.withColumn("_first", peel(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), 0))
         ok = F.col("_first.ok")
         side = [F.when(ok, none).otherwise(F.col(c)).alias(x) for c, x in ((a, "a"), (b, "b"))]
-        df = df.withColumn(name, F.array(F.struct(ok.alias("ok"), F.when(ok, F.col("_first.plus")).otherwise(0).alias("plus"), F.when(ok, F.col("_first.minus")).otherwise(0).alias("minus"), *side))).drop("_first")
+        df = df.withColumn(name, F.array(F.struct(ok.alias("ok"), F.when(ok, F.col("_first.plus")).otherwise(none).alias("plus"), F.when(ok, F.col("_first.minus")).otherwise(none).alias("minus"), *side))).drop("_first")
         df = _retried(df, name, range(1, RETRIES + 1))
     packed = [x for c in sides for x in (_packed(F.col(f"{c}_cells")).alias(f"{c}_sketch"), F.size(c).alias(f"{c}_n"))]
     base = materialize(df.select(*rest, *packed, *pairs, F.monotonically_increasing_id().alias("_row")), "sketches")
     unsettled = reduce(lambda x, y: x | y, [F.size(name) > 1 for name in pairs])
-    counts = [F.aggregate(F.col(name), F.lit(0), _adding(side)).cast("long").alias(f"{name}_{side}") for name in pairs for side in ("plus", "minus")]
+    recovered = [_recovered(F.col(name), side).alias(f"{name}_{side}") for name in pairs for side in ("plus", "minus")]
     names = [c for c in base.columns if c not in (*pairs, "_row")]
     todo = base.where(unsettled).select("_row", F.explode(F.array(*[F.struct(F.lit(name).alias("pair"), F.filter(name, lambda x: ~x["ok"]).alias("left")) for name in pairs])).alias("p"))
     todo = todo.select("_row", "p.pair", F.explode("p.left").alias("x"))
@@ -211,12 +216,14 @@ def fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
         tried = materialize(tried, f"sketches-{level}")
         found.append(tried.where("x.ok").select("_row", "pair", "x.plus", "x.minus"))
         todo = tried.where("not x.ok")
-    out = base.select(*names, *counts, "_row", unsettled.alias("_open"))
-    order = ["_doc.*", *[c for c in names if c != "_doc"], *[f"{n}_{s}" for n in pairs for s in ("plus", "minus")]]
+    out = base.select(*names, *recovered, "_row", unsettled.alias("_open"))
+    alone = [f"{n}_{s}" for n in pairs for s in ("plus", "minus")]
+    order = ["_doc.*", *[c for c in names if c != "_doc"], *[F.size(c).cast("long").alias(c) for c in alone], *([F.array_sort(c).alias(f"{c}_digests") for c in alone] if recover else [])]
     if not found:
         return out.select(*order).drop("_end")
-    sums = reduce(DataFrame.unionByName, found).groupBy("_row").agg(*[F.sum(F.when(F.col("pair") == name, F.col(side)).otherwise(0)).alias(f"_{name}_{side}") for name in pairs for side in ("plus", "minus")])
-    late = out.where("_open").join(sums, "_row", "left").withColumns({f"{name}_{side}": F.col(f"{name}_{side}") + F.coalesce(F.col(f"_{name}_{side}"), F.lit(0)) for name in pairs for side in ("plus", "minus")})
+    # a row's digests are at most those of its two texts
+    more = reduce(DataFrame.unionByName, found).groupBy("_row").agg(*[F.flatten(F.collect_list(F.when(F.col("pair") == name, F.col(side)))).alias(f"_{name}_{side}") for name in pairs for side in ("plus", "minus")])
+    late = out.where("_open").join(more, "_row", "left").withColumns({f"{name}_{side}": F.concat(f"{name}_{side}", F.coalesce(F.col(f"_{name}_{side}"), _none())) for name in pairs for side in ("plus", "minus")})
     return out.where("not _open").select(*order).unionByName(late.select(*order)).drop("_end")
 
 
@@ -236,7 +243,8 @@ def op3_iblt_fingerprints(spark, sf_dir: str) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, its edited text and the next one, by (doc_id, text); one row per input row.
 
-    The edited text has its last third of code points replaced by the next text's first as many. Null texts are empty;
+    ``removed_digests`` and ``added_digests`` are the paragraph digests that peeling recovered: those of the text that its
+    edited text lacks, and the other way round. The edited text has its last third of code points replaced by the next text's first as many. Null texts are empty;
     texts without a word have no digests, and two such texts are alike (1.0). Equal texts have equal fingerprints.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -245,6 +253,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[paragraph_digests(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "edit"), ("next_text", "nxt"))])
-    got = fingerprints(rows, {"e": ("own", "edit"), "x": ("own", "nxt")})
+    got = fingerprints(rows, {"e": ("own", "edit"), "x": ("own", "nxt")}, recover=True)
     near = {name: likeness(F.col("own_n"), F.col(f"{other}_n"), F.col(f"{name}_plus"), F.col(f"{name}_minus")) for name, other in (("e", "edit"), ("x", "nxt"))}
-    return got.select("doc_id", "n_chars", "edited_sha256", _one_line(F.base64("own_sketch")).alias("fingerprint"), _one_line(F.base64("edit_sketch")).alias("edited_fingerprint"), near["e"].alias("near_edited"), near["x"].alias("near_next"))
+    return got.select("doc_id", "n_chars", "edited_sha256", _one_line(F.base64("own_sketch")).alias("fingerprint"), _one_line(F.base64("edit_sketch")).alias("edited_fingerprint"), near["e"].alias("near_edited"), near["x"].alias("near_next"), F.col("e_plus_digests").alias("removed_digests"), F.col("e_minus_digests").alias("added_digests"))

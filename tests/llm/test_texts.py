@@ -104,6 +104,9 @@ def test_iblt_retries_until_whole(spark, monkeypatch):
     df = spark.createDataFrame([(1, a, b)], "doc_id long, a string, b string").select("doc_id", *[iblt.paragraph_digests(F.col(c)).alias(c) for c in "ab"])
     r = iblt.fingerprints(df, {"p": ("a", "b")}).first()
     assert (r["a_n"], r["b_n"], r["p_plus"], r["p_minus"]) == (400, 300, 200, 100)
+    sides = df.first()
+    again = iblt.fingerprints(df, {"p": ("a", "b")}, recover=True).first()
+    assert again["p_plus_digests"] == sorted({*sides["a"]} - {*sides["b"]}) and again["p_minus_digests"] == sorted({*sides["b"]} - {*sides["a"]})
 
 
 def brute_simhash(text):
