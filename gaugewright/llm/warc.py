@@ -3,7 +3,8 @@
 Each capture is a request, a response (or a revisit, which names the response of the equal payload in WARC-Refers-To) and
 a metadata record; request and metadata name the response in WARC-Concurrent-To. Archives are written by Spark's text sink,
 one record a row and the record terminator as line separator, and read once through its binary source, so any file system
-that Spark knows will do. Each written file is one gzip stream of a bounded number of records.
+that Spark knows will do. Each written file is one gzip stream of bounded size: captures are written by classes of their
+payload's size, large ones with fewer records a file.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ END = "\r\n"
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
-RECORDS_PER_FILE = 6_000
+#: Bytes of payloads that one file holds at most (a larger payload has a file for itself), and records of a file.
+FILE_BYTES, RECORDS_PER_FILE = 64_000_000, 6_000
+#: Records of one capture, of which one holds the payload; and the ratio of sizes inside a class.
+CAPTURE_RECORDS, SIZE_CLASS = 3, 8
 #: Repeated payloads whose digests may be broadcast while archives are written; with more of them the join shuffles.
 BROADCAST_DIGESTS = 50_000
 _BATCH_BYTES = 8_000_000
@@ -90,8 +94,22 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     request = _record("request", side("request"), "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END * 2}")))
     about = F.coalesce(F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit(END)), F.lit(""))
     metadata = _record("metadata", side("metadata"), "application/warc-fields", about)
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # the first class has payloads of which a full file's records stay within its bytes, each further one SIZE_CLASS times those
+    smallest = FILE_BYTES * CAPTURE_RECORDS // RECORDS_PER_FILE
+    held = rows.select(_size_class(F.col("size"), smallest).alias("c")).distinct().collect()  # a class per power of SIZE_CLASS
+    for i, c in enumerate(sorted(r["c"] for r in held) or [0]):
+        most = max(CAPTURE_RECORDS, RECORDS_PER_FILE // SIZE_CLASS**c // CAPTURE_RECORDS * CAPTURE_RECORDS)
+        part = rows.where(_size_class(F.col("size"), smallest) == c).select(F.explode(F.array(request, response, metadata)).alias("value"))
+        part.write.mode("append" if i else "errorifexists").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _size_class(size: Column, smallest: int) -> Column:
+    """0 for sizes up to ``smallest``, 1 up to SIZE_CLASS times that, and so on."""
+    out = F.lit(0)
+    for _ in range(12):
+        out = out + (size > smallest).cast("int")
+        smallest *= SIZE_CLASS
+    return out
 
 
 def _headers(stream: io.BufferedIOBase) -> dict[str, str]:

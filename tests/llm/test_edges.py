@@ -1,5 +1,6 @@
 """Nulls, clashing names, repeats, very long words and many languages, operator by operator."""
 
+import gzip
 import random
 
 import numpy as np
@@ -138,3 +139,17 @@ def test_mixing_of_the_documents_meets_every_target(spark):
     rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     _meets_targets(rows)
     assert len(rows) == 1000
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 60)
+    rng = random.Random(8)
+    sizes = [0, 1, 1999, 2000, 2001, 16_000, 16_001, 70_000, 300_000, *(rng.choice([10, 1500, 5000, 20_000]) for _ in range(120))]
+    rows = [(i, f"http://h/{i}", f"{i} " + "".join(rng.choice("abcdef ") for _ in range(n))) for i, n in enumerate(sizes)] + [(900, None, None)]
+    path = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{path}")
+    held = [len(gzip.decompress(p.read_bytes())) for p in path.glob("*.gz")]
+    assert len(held) > 12 and sorted(held)[-3] <= 40_000 + 60 * 800 and max(held) <= 300_000 + 4_000
+    got = {r["metadata"]["fields"]["page-id"]: r["response"]["block"] for r in warc.read_transactions(spark, f"file://{path}").collect()}
+    assert len(got) == len(rows) and all(bytes(got[str(i)]).endswith((html or "").encode()) for i, _, html in rows)
