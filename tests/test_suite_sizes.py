@@ -13,3 +13,16 @@ def test_history_items_whose_visible_ratings_are_equal_have_two_pairs(spark):
     assert flat.count() == 3
     assert specs.where(F.col("subset_low.place") == F.col("subset_high.place")).count() == 0
     assert checks.item_errors(suites.suite_views(specs, "history"), "history").count() == 0
+
+
+def test_a_small_table_of_items_is_dealt_to_every_core(spark, tmp_path):
+    """Customers are one file of one row group; views of all items were one task's, or by domain (six of them) after a shuffle."""
+    from gaugewright.plans import report_queries
+
+    spark.range(500).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    specs = report_queries._suite_specs(spark, str(tmp_path), "rag")
+    dealt = specs.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 100
+    views = suites.suite_views(specs, "rag")
+    assert "Exchange hashpartitioning" not in views._jdf.queryExecution().executedPlan().toString()
+    assert views.count() == 500 * 17
