@@ -20,20 +20,23 @@ from .statistics import BOOT, SEED, bh_adjust, bootstrap_ci, wilcoxon
 ORDER = ["item", "direction", "condition"]
 
 
-def last_answers(records: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """(cell, item, condition, answer, anchor, gold, pos) of each last parsed row, all of an item's in one partition."""
+def last_answers(records: DataFrame, cell: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """(cell, item, condition, answer, anchor, gold, pos) of each last parsed row, all of an item's in one partition.
+
+    A task holds its rows' groups and sorts them; ``tasks`` (``adapters.line_tasks``) has to grow with the records for that to stay bounded.
+    """
     key = [*cell, "item"]
-    rows = records.where("parsed_ok").select(*key, "condition", "answer", "anchor", "gold", "pos").repartition(*key)
+    rows = records.where("parsed_ok").select(*key, "condition", "answer", "anchor", "gold", "pos").repartition(*([tasks] if tasks else []), *key)
     return rows.groupBy(*key, "condition").agg(*[F.max_by(c, "pos").alias(c) for c in ("answer", "anchor", "gold")], F.max("pos").alias("pos"))
 
 
-def uai_vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, merge: bool = False) -> DataFrame:
+def uai_vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, merge: bool = False, tasks: int | None = None) -> DataFrame:
     """(cell, grp, item, direction, condition, uai): pull of every anchored condition against its item's baseline answer.
 
     The group is the condition's relevance. ``merge`` keeps one value per (group, item, direction), that of the condition
     with the latest record, as sets of variants (mild, strong, ordered) share a direction. One shuffle by cell and item.
     """
-    return _pulls(last_answers(records.withColumn("gold", F.lit(None).cast("int")), cell), cell, baseline, epsilon, merge)
+    return _pulls(last_answers(records.withColumn("gold", F.lit(None).cast("int")), cell, tasks), cell, baseline, epsilon, merge)
 
 
 def _pulls(last: DataFrame, cell: Sequence[str], baseline: str, epsilon: float, merge: bool) -> DataFrame:
@@ -48,10 +51,10 @@ def _pulls(last: DataFrame, cell: Sequence[str], baseline: str, epsilon: float,
     return got.select(*cell, "grp", "item", "direction", "condition", "uai")
 
 
-def vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON) -> DataFrame:
+def vectors(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, tasks: int | None = None) -> DataFrame:
     """(cell, vector, item, direction, condition, value): ``uai_<group>``, ``disc_delta`` (plausible less irrelevant pull of
     an item and direction) and ``mae`` (the baseline's errors)."""
-    return _vectors(last_answers(records, cell), cell, baseline, epsilon)
+    return _vectors(last_answers(records, cell, tasks), cell, baseline, epsilon)
 
 
 def _vectors(last: DataFrame, cell: Sequence[str], baseline: str, epsilon: float) -> DataFrame:
@@ -80,13 +83,13 @@ def intervals(vecs: DataFrame, cell: Sequence[str], n_boot: int = BOOT, seed: in
     return got.select(*cell, "vector", "n", F.struct("mean", "lo", "hi").alias("ci"))
 
 
-def extended_metrics(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, n_boot: int = BOOT, seed: int = SEED, method: str = "exact") -> DataFrame:
+def extended_metrics(records: DataFrame, cell: Sequence[str], baseline: str = CONTROL, epsilon: float = EPSILON, n_boot: int = BOOT, seed: int = SEED, method: str = "exact", tasks: int | None = None) -> DataFrame:
     """Per cell and vector: n, ci, p and p_bh; vectors against the two-stage control end in ``_ts`` where it isn't the baseline.
 
     A vector without values has no row; a cell without a two-stage control has no ``_ts`` rows. Records are read once: the
     last answers and the vectors are written tables, which tests and intervals share.
     """
-    last = written(last_answers(records, cell), "last-answers")
+    last = written(last_answers(records, cell, tasks), "last-answers")
     vecs = _vectors(last, cell, baseline, epsilon)
     if baseline != TWO_STAGE:
         ts = _pulls(last, cell, TWO_STAGE, epsilon, merge=True)

@@ -26,3 +26,18 @@ def test_a_small_table_of_items_is_dealt_to_every_core(spark, tmp_path):
     views = suites.suite_views(specs, "rag")
     assert "Exchange hashpartitioning" not in views._jdf.queryExecution().executedPlan().toString()
     assert views.count() == 500 * 17
+
+
+def test_tasks_of_vectors_grow_with_the_lines(spark, monkeypatch):
+    """A task's groups and sorts were bounded by the number of shuffle partitions only."""
+    from gaugewright.operators import extended
+    from gaugewright.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in extended.uai_vectors(adapters.records(spark, sf), adapters.CELL, merge=True).collect()}
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 500)
+    lines = adapters.table(spark, sf, "lineitem").count()
+    tasks = adapters.line_tasks(spark, sf)
+    assert tasks == -(-lines // 500) > 4
+    assert extended.last_answers(adapters.records(spark, sf), adapters.CELL, tasks).rdd.getNumPartitions() == tasks
+    assert {tuple(r) for r in extended.uai_vectors(adapters.records(spark, sf), adapters.CELL, merge=True, tasks=tasks).collect()} == want
