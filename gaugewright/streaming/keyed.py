@@ -1,7 +1,8 @@
-"""Metrics of a record stream from keyed state: a batch reads its own rows and the state of their items, nothing else.
+"""Metrics of a record stream from keyed state: a batch reads its own rows and the state of their items' buckets, nothing else.
 
-State lives per (cell, item): the last parsed row of each condition, and row counts. When rows of an item arrive, in any
-order, its part in the cell's sums is computed anew and the difference to what it was before is passed on; a control that
+State is kept per (cell, item): the last parsed row of each condition, and row counts. A cell's items are dealt to buckets by
+hash, and a bucket's items are one value of the state store: Python is called, and state passed, once a bucket and batch, not
+once an item. When rows of an item arrive, in any order, its part in the cell's sums is computed anew and the difference to what it was before is passed on; a control that
 comes late so repairs every pull that waited for it. Differences are summed by cell inside the batch and appended as one
 small file a batch, named by the batch, so a batch that runs again replaces its own. A cell's metrics are a sum of its
 differences; ``compact`` folds old batches into one.
@@ -9,6 +10,7 @@ differences; ``compact`` folds old batches into one.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -27,7 +29,8 @@ COUNTS = ("n_records", "n_items", "n_answered", "n_error", "within10", *(f"n_{p}
 TOTALS = ("error", *(f"{p}_{c}" for p in ("uai", "tar") for c in CORE_ANCHORED))
 _PLACE = {c: k for k, c in enumerate(KEPT)}
 _LAST = ("pos", "answer", "anchor", "gold")
-_STATE = "n_records long, n_answered long, has_parsed boolean, " + ", ".join(f"{x} array<long>" for x in _LAST)
+#: Buckets of a cell, fixed for the life of a checkpoint. More of them read less state for small batches and call Python more often for large ones.
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,44 +57,59 @@ def item_sums(state: tuple | None, epsilon: float = EPSILON) -> dict[str, float]
 
 
 class ItemFold(StatefulProcessor):
-    """Folds an item's rows into its state and gives the difference that they make to its cell's sums."""
+    """Folds rows into the state of their bucket's items and gives the difference that they make to the cell's sums."""
 
     def __init__(self, cell: Sequence[str], epsilon: float):
         self.cell, self.epsilon = list(cell), epsilon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("item", _STATE)
+        self.state = handle.getValueState("bucket", "items binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         old = self.state.get()
-        n_records, n_answered, has_parsed, *last = old or (0, 0, False, *([None] * len(KEPT) for _ in _LAST))
-        last = [list(x) for x in last]
+        items = pickle.loads(old[0]) if old else {}
+        before: dict[Any, tuple | None] = {}
+        place = None
         for row in rows:
-            n_records += 1
-            if not row["parsed_ok"]:
+            if place is None:
+                place = [row.__fields__.index(x) for x in ("item", "condition", "parsed_ok", *_LAST)]
+            item, condition, parsed_ok, *values = [row[i] for i in place]
+            if item not in before:
+                had = before[item] = items.get(item)
+                n_records, n_answered, has_parsed, *last = had or (0, 0, False, *([None] * len(KEPT) for _ in _LAST))
+                items[item] = [n_records, n_answered, has_parsed, *map(list, last)]
+            own = items[item]
+            own[0] += 1
+            if not parsed_ok:
                 continue
-            has_parsed = True
-            n_answered += row["answer"] is not None
-            pos, k = row["pos"], _PLACE.get(row["condition"])
-            if k is not None and pos is not None and (last[0][k] is None or pos >= last[0][k]):
-                for own, x in zip(last, _LAST):
-                    own[k] = row[x]
-        new = (n_records, n_answered, has_parsed, *last)
-        self.state.update(new)
-        before, after = item_sums(old, self.epsilon), item_sums(new, self.epsilon)
-        yield Row(*self.cell, *COUNTS, *TOTALS)(*key[: len(self.cell)], *(after[x] - before[x] for x in COUNTS), *(float(after[x] - before[x]) for x in TOTALS))
+            own[1] += values[1] is not None
+            own[2] = True
+            pos, k = values[0], _PLACE.get(condition)
+            if k is not None and pos is not None and (own[3][k] is None or pos >= own[3][k]):
+                for kept, x in zip(own[3:], values):
+                    kept[k] = x
+        change: dict[str, float] = dict.fromkeys((*COUNTS, *TOTALS), 0)
+        for item, had in before.items():
+            new = item_sums(items[item], self.epsilon)
+            for x, v in new.items():
+                change[x] += v
+            if had is not None:
+                for x, v in item_sums(had, self.epsilon).items():
+                    change[x] -= v
+        self.state.update((pickle.dumps(items, pickle.HIGHEST_PROTOCOL),))
+        yield Row(*self.cell, *COUNTS, *TOTALS)(*key[: len(self.cell)], *(change[x] for x in COUNTS), *(float(change[x]) for x in TOTALS))
 
     def close(self) -> None:
         pass
 
 
-def cell_differences(stream: DataFrame, cell: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
-    """One row per item and batch: how its rows change the sums of its cell. ``pos`` has to be a whole number."""
+def cell_differences(stream: DataFrame, cell: Sequence[str], epsilon: float = EPSILON, buckets: int = BUCKETS) -> DataFrame:
+    """One row per bucket of items and batch: how its rows change the sums of its cell. ``pos`` has to be a whole number."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = stream.select(*cell, "item", "condition", "parsed_ok", *[F.col(x).cast("long") for x in _LAST])
+    rows = stream.select(*cell, F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("_bucket"), "item", "condition", "parsed_ok", *[F.col(x).cast("long") for x in _LAST])
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cell).schema.fields), *(f"{x} long" for x in COUNTS), *(f"{x} double" for x in TOTALS)])
-    return rows.groupBy(*cell, "item").transformWithState(ItemFold(cell, epsilon), fields, "Append", "None")
+    return rows.groupBy(*cell, "_bucket").transformWithState(ItemFold(cell, epsilon), fields, "Append", "None")
 
 
 def fold_on_arrival(stream: DataFrame, out: str, cell: Sequence[str], checkpoint: str, dedup: Sequence[str] = (), watermark: tuple[str, str] | None = None, epsilon: float = EPSILON) -> StreamingQuery:

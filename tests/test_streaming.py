@@ -80,3 +80,17 @@ def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
     assert read == [20]
     touched = spark.read.parquet(out).groupBy("batch").agg(F.sum("n_records").alias("n")).orderBy("batch").collect()
     assert [r["n"] for r in touched if r["n"]] == [280, 20]
+
+
+def test_items_of_a_bucket_pass_through_one_call(spark, tmp_path):
+    """State and Python were called once an item, which a large batch could not afford."""
+    rows = _records(5, 300)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    differences = keyed.cell_differences(stream, ["m"], buckets=2)
+    q = differences.writeStream.format("memory").queryName("differences").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("differences").groupBy("m").agg(F.count("*").alias("calls"), F.sum("n_records").alias("n"), F.sum("n_items").alias("items")).collect()
+    want = _batch(spark, rows)
+    assert {r["m"]: (r["n"], r["items"]) for r in got} == {m: (v["n_records"], v["n_items"]) for m, v in want.items()}
+    assert all(r["calls"] <= 2 for r in got)
