@@ -1,5 +1,7 @@
 """Generated suites over tables of any size: rare items, spread of the work."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from gaugewright.operators import checks, generation, suites
@@ -41,3 +43,21 @@ def test_tasks_of_vectors_grow_with_the_lines(spark, monkeypatch):
     assert tasks == -(-lines // 500) > 4
     assert extended.last_answers(adapters.records(spark, sf), adapters.CELL, tasks).rdd.getNumPartitions() == tasks
     assert {tuple(r) for r in extended.uai_vectors(adapters.records(spark, sf), adapters.CELL, merge=True, tasks=tasks).collect()} == want
+
+
+def test_tasks_that_count_document_ids_grow_with_the_items(spark, tmp_path, monkeypatch):
+    """Ids were counted per task of the files read, then in as many tasks as there are shuffle partitions; both grew with the table."""
+    from gaugewright.plans import report_queries
+
+    ids = spark.range(500).union(spark.range(1))  # customer 0 occurs twice: its documents count twice, their ids once
+    ids.select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(report_queries, "ITEMS_A_TASK", 20)
+    got = report_queries.rag_corpus(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+    dealt = re.split(r"Exchange hashpartitioning\(doc_id#\d+, 26\), REPARTITION_BY_NUM", plan)
+    assert len(dealt) == 2 and "HashAggregate" in dealt[0] and "HashAggregate" not in dealt[1]
+    assert plan.count("Exchange RoundRobinPartitioning(26)") == 3 and "FileScan parquet [item_id" not in plan
+    per_item = {("core", "none"): 1, ("filler", "none"): 1, ("anchor_slot", "none"): 1, ("anchor_slot", "irrelevant"): 4, ("anchor_slot", "plausible"): 2, ("anchor_slot", "authority"): 2}
+    anchored = lambda relevance: relevance != "none"
+    want = {(d, r, 501 * k, 500 * k, 501 * k * anchored(r), 501 * k) for (d, r), k in per_item.items()}
+    assert {tuple(r) for r in got.collect()} == want
