@@ -61,3 +61,14 @@ def test_tasks_that_count_document_ids_grow_with_the_items(spark, tmp_path, monk
     anchored = lambda relevance: relevance != "none"
     want = {(d, r, 501 * k, 500 * k, 501 * k * anchored(r), 501 * k) for (d, r), k in per_item.items()}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_tasks_that_count_items_of_views_grow_with_the_items(spark, tmp_path, monkeypatch):
+    """Views' items were counted like documents' ids: per task of the files read, then in shuffle partitions."""
+    from gaugewright.plans import report_queries
+
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(report_queries, "ITEMS_A_TASK", 4)
+    for name, parts in (("variant_views", 5), ("suite_manifests", 6), ("medical_weighted_manifest", 1)):
+        plan = getattr(report_queries, name)(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(item_id#\d+, 25\), REPARTITION_BY_NUM", plan)) == parts, name
