@@ -72,3 +72,35 @@ def test_tasks_that_count_items_of_views_grow_with_the_items(spark, tmp_path, mo
     for name, parts in (("variant_views", 5), ("suite_manifests", 6), ("medical_weighted_manifest", 1)):
         plan = getattr(report_queries, name)(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(r"Exchange hashpartitioning\(item_id#\d+, 25\), REPARTITION_BY_NUM", plan)) == parts, name
+
+
+def test_views_are_checked_in_one_pass_without_a_shuffle_of_views(spark, tmp_path, monkeypatch):
+    """Views were rendered for each group of checks, multiplied by the number of counted parts with all their texts, and shuffled by item."""
+    from gaugewright.plans import report_queries
+
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(report_queries, "ITEMS_A_TASK", 4)
+    monkeypatch.setattr(report_queries, "SUITE_NAMES", ("icl_dist",))
+    plan = report_queries.suite_errors(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "FileScan parquet [item_id" not in plan
+    by_item = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\), (\w+)", plan)
+    assert {(n, why) for key, n, why in by_item if "item_id" in key} == {("25", "REPARTITION_BY_NUM")}
+    assert len(re.findall(r"sha2\([^)]*\), 256\), 1, 16\)\) AS prompt_hash", plan)) == 1
+    specs = report_queries._specs_by_id(spark, str(tmp_path), "icl_dist")
+    assert suites.suite_views(specs, "icl_dist").count() == 500
+
+
+def test_views_checked_with_their_items_are_counted_with_repeats(spark):
+    """The one pass finds what the two do, a repeated view's errors as often as it is there."""
+    specs = suites.suite_specs(spark, "tool", n_per_cell=1, domains=["snacks"]).cache()
+    views = suites.suite_views(specs, "tool")
+    items = [r["item_id"] for r in specs.select("item_id").orderBy("item_id").collect()]
+    odd = views.where((F.col("item_id") == items[0]) & (F.col("condition") == "control")).withColumn("condition", F.lit("odd"))
+    bad = views.unionByName(odd).unionByName(odd).withColumn("relevance", F.when((F.col("item_id") == items[1]) & (F.col("condition") == "plausible_low"), "strange").otherwise(F.col("relevance"))).cache()
+    found = sorted(map(tuple, checks.view_and_item_errors(bad, "tool").collect()))
+    assert found == sorted(map(tuple, checks.view_errors(bad).unionByName(checks.item_errors(bad, "tool")).collect()))
+    assert found == sorted(
+        [("item", items[0], e) for e in ("condition unexpected", "prompts equal", "view repeated")]
+        + [("view", f"{items[0]}/odd", "anchor missing")] * 2
+        + [("view", f"{items[1]}/plausible_low", e) for e in ("relevance unexpected", "relevance unknown")]
+    )
